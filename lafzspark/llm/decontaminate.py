@@ -196,3 +196,18 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(cov.c, 0)::BIGINT AS n_hit,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(cov.c, 0) > 0 AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """docs without the rows in which a window of the benchmark occurs; one scan for each piece of the benchmark."""
+    for part in pieces(benchmark, automaton_bytes):
+        docs = tables.rows_kept(docs, _clean(part, window))
+    return docs
+
+
+def _clean(items: list[tuple[str, bytes]], window: int):
+    def flags():
+        trie = automaton(items, window)
+        return lambda batch: pa.array([not hits(trie, t or b"")[1] for t in scan.as_bytes(batch.column("text")).to_pylist()], pa.bool_())
+
+    return flags

@@ -164,3 +164,22 @@ def op9(spark, sf_dir: str) -> DataFrame:
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, _equals(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with each span of personal data replaced by its kind in brackets, and n_chars, if there is one, brought up to date."""
+    columns = docs.columns
+
+    def run(batches):
+        trie = automaton()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = [find(trie, t) if t else [] for t in texts]
+            texts = [masked(t, f) if f else t for t, f in zip(texts, found, strict=True)]
+            new = {"text": pa.array(texts, batch.schema.field("text").type)}
+            if "n_chars" in columns:
+                sizes = [len(t) if f else n for t, f, n in zip(texts, found, batch.column("n_chars").to_pylist(), strict=True)]
+                new["n_chars"] = pa.array(sizes, batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], names=columns)
+
+    return docs.mapInArrow(run, docs.schema)

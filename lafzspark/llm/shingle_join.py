@@ -88,7 +88,8 @@ def _sketch(size: int):
                 bands = (scan.mix(low.reshape(BANDS, ROWS)) * shuffles).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
                 keys.append(scan.mix(bands).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "keys"]
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "node", "keys"],
             )
 
     return run
@@ -292,9 +293,10 @@ def _links(sets: DataFrame, percent: int, block: int, shingle_count: int) -> Dat
 def jaccard_components(
     docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK, fetch_rows: int = FETCH_ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), text_hash (tells rows of one doc_id apart)."""
     own = tables.id_text(docs, id_col, text_col)
-    sketches = written(own.mapInArrow(_sketch(size), tables.schema(own, "n_shingles long, node long, keys array<long>")))
+    hashed = own.withColumn("text_hash", F.xxhash64("text"))
+    sketches = written(hashed.mapInArrow(_sketch(size), tables.schema(own, "text_hash long, n_shingles long, node long, keys array<long>")))
     reps = written(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")))
     shared = written(_candidates(sketches))
     clusters = components(shared.select(F.col("node").alias("a"), F.col("low").alias("b")))
@@ -314,12 +316,35 @@ def jaccard_components(
     merged = found.join(lowest, "component").select("node", "component_id")
     merged = merged.union(lowest.select(F.col("component").alias("node"), "component_id"))
     final = reps.join(merged, "node", "left").select(F.col("node").alias("m"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", "node").join(final, F.col("node") == F.col("m"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sketches.select("doc_id", "text_hash", "n_shingles", "node").join(final, F.col("node") == F.col("m"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, fetch_rows: int = FETCH_ROWS, **options) -> DataFrame:
+    """One document of each component of docs: that of the smallest doc_id, once.
+
+    The keys of rows to leave out are broadcast while there are at most fetch_rows of them (16 bytes each), and joined
+    by a shuffle of the documents beyond that. Rows of a null doc_id stay unless a row with an id is in their component.
+    """
+    found = written(jaccard_components(docs, fetch_rows=fetch_rows, **options))
+    out = written(found.where("NOT (doc_id <=> component_id)").select("doc_id", "text_hash").distinct())
+    twice = written(found.where("doc_id = component_id").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"))
+    names = {c: f"lafz_{i}" for i, c in enumerate(("doc_id", "text_hash"))}
+    match = (F.col("doc_id").eqNullSafe(F.col(names["doc_id"]))) & (F.xxhash64(F.col("text").cast("string")) == F.col(names["text_hash"]))
+
+    def keys(table: DataFrame) -> DataFrame:
+        table = table.withColumnsRenamed(names)
+        return F.broadcast(table) if table.count() <= fetch_rows else table.hint("merge")
+
+    kept = docs.join(keys(out), match, "left_anti")
+    if twice.isEmpty():
+        return kept
+    single = kept.join(keys(twice), match, "left_anti")
+    return single.union(kept.join(keys(twice), match, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 OP7_SQL = r"""

@@ -32,3 +32,14 @@ def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Record
 
 def utf8_size(text: F.Column) -> F.Column:
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))
+
+
+def rows_kept(docs: DataFrame, flags: Callable[[], Callable[[pa.RecordBatch], pa.Array]]) -> DataFrame:
+    """The rows, with all their columns, for which a batch's flags hold; flags() is called once in each task."""
+
+    def run(batches):
+        keep = flags()
+        for batch in batches:
+            yield batch.filter(keep(batch))
+
+    return docs.mapInArrow(run, docs.schema)
