@@ -125,7 +125,7 @@ def character_ngrams(t: Column, n: int = 3, pad: bool = True) -> Column:
     count = F.length(token) - n + 1
     grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(token, i, F.lit(n)))
     empty = F.array().cast("array<string>")
-    return F.when(t == "", empty).when(count < 1, F.array(token)).otherwise(grams)
+    return F.when(t == "", empty).when(count < 1, F.array(token)).when(t.isNotNull(), grams)
 
 
 def is_stopword(w: Column, include_negation: bool = False) -> Column:
