@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a temporary folder only where it is unset (tests on one machine)."""
@@ -18,15 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, codec: str = "zstd", batch_rows: int | None = None) -> DataFrame:
     """df, written once as Parquet to the shared folder and read again.
 
     A lost executor then costs a read of that table, not the work behind it. The tables stay until the
-    application's folder under spark.checkpoint.dir is removed.
+    application's folder under spark.checkpoint.dir is removed. batch_rows: rows of an Arrow batch during this
+    write, for passes over whole texts, whose batches are held in both the JVM and Python.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lafz-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(BATCH_ROWS)
+    if batch_rows:
+        spark.conf.set(BATCH_ROWS, str(batch_rows))
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

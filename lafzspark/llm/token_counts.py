@@ -29,6 +29,8 @@ from lafzspark.llm.scratch import written
 HOT_WORDS = 1 << 16
 HOT_BYTES = 64
 HELD_WORDS = 1 << 18
+#: Texts of an Arrow batch.
+TEXTS = 1 << 10
 
 
 def _frequencies(batches):
@@ -106,7 +108,7 @@ def token_counts(
     """doc_id, n_bytes (UTF-8), n_tokens. tokenizer_path: a tokenizer.json that every executor can read."""
     own = tables.id_text(docs, id_col, text_col)
     words = own.select("text").mapInArrow(_frequencies, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    pieces = written(words.mapInArrow(_encode(tokenizer_path), "word binary, n long, pieces long"))
+    pieces = written(words.mapInArrow(_encode(tokenizer_path), "word binary, n long, pieces long"), batch_rows=TEXTS)
     top = pieces.where(F.length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(hot_words)
     hot = {bytes(r["word"]): r["pieces"] for r in top.select("word", "pieces").collect()}
     # A document's rows meet again by doc_id and content, so rows with one doc_id and different texts stay apart.
@@ -114,7 +116,7 @@ def token_counts(
     row = F.struct("doc_id", "n_bytes", "text_hash")
     kind = keyed.select(row.alias("row")).schema["row"].dataType
     parts = keyed.select(row.alias("row"), "text").mapInArrow(_sum(hot), f"row {kind.simpleString()}, word binary, n long")
-    parts = written(parts)
+    parts = written(parts, batch_rows=TEXTS)
     known = parts.where("word IS NULL").select("row", "n", F.lit(1).cast("long").alias("rows"))
     rare = parts.where("word IS NOT NULL").join(pieces.select("word", "pieces"), "word")
     rare = rare.select("row", (F.col("n") * F.col("pieces")).alias("n"), F.lit(0).cast("long").alias("rows"))
