@@ -6,6 +6,7 @@ on the size of a partition or of an Arrow batch. One text is never divided.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,6 +92,14 @@ def spans(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a pass's end: workers are kept for later tasks, and with them what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU C library has it
+    if trim:
+        trim(0)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -16,6 +16,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import numpy as np
@@ -49,6 +50,7 @@ def _frequencies(batches):
                 yield out()
     if held:
         yield out()
+    scan.give_back()
 
 
 def _rows(column):
@@ -58,6 +60,7 @@ def _rows(column):
 
 def _encode(path: str):
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread would hold memory of its own
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -72,6 +75,8 @@ def _encode(path: str):
                     [words.slice(a, len(part)), batch.column("n").slice(a, len(part)), pa.array([len(x) for x in part], pa.int64())],
                     names=["word", "n", "pieces"],
                 )
+        del tokenizer
+        scan.give_back()
 
     return run
 
@@ -98,6 +103,7 @@ def _sum(hot: dict[bytes, int]):
                     words.append(None)
                     values.append(found)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(words, pa.binary()), pa.array(values, pa.int64())], names=["row", "word", "n"])
+        scan.give_back()
 
     return run
 
