@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lafzspark.functions import figures, letters
 from lafzspark.functions import text as T
+from lafzspark.operators import evaluate
 from lafzspark.plans import sql
 from lafzspark.resources import script as S
 
@@ -262,6 +263,62 @@ SPELLED_BY_RULES = f"""
 WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(translate(text, '{LATIN[26:]}', '{LATIN[:26]}'), '[a-z]+')) AS word FROM documents)
 SELECT word, {sql.rules_to_urdu("word")} AS urdu FROM w"""
 
+CONFIDENCE = "((doc_id * 7919) % 1000 + 1) / 1000.0::DOUBLE"
+
+
+def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability bins of quality under a confidence made from doc_id."""
+    labels = _read(spark, sf_dir, "labels")
+    return evaluate.calibration_bins(labels, ((F.col("doc_id") * 7919) % 1000 + 1) / F.lit(1000.0), F.col("quality") == 1)
+
+
+CALIBRATION_BINS = f"""
+WITH c AS (SELECT {CONFIDENCE} AS c, quality = 1 AS hit FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL),
+b AS (SELECT least(greatest(ceil(c * 15), 1), 15)::BIGINT AS bin, count(*) AS n, count(*) FILTER (WHERE hit) AS hits, sum(c) / count(*) AS mean FROM c GROUP BY 1)
+SELECT bin, n, hits, round(mean, 6) AS confidence, round(abs(hits / n - mean), 6) AS gap FROM b"""
+
+
+def prior_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity guessed as low quality, if one document in twenty were toxic."""
+    pairs = _read(spark, sf_dir, "labels").where("toxic IS NOT NULL AND quality IS NOT NULL")
+    cells = pairs.groupBy(F.col("toxic").alias("truth"), (1 - F.col("quality")).alias("pred")).agg(F.count("*").alias("n"))
+    return evaluate.prior_shift(cells, spark.sql("SELECT * FROM VALUES (0, 19), (1, 1) AS t(label, weight)"))
+
+
+PRIOR_SHIFT = """
+WITH c AS (SELECT toxic AS truth, 1 - quality AS pred, count(*) AS n FROM labels WHERE toxic IS NOT NULL AND quality IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT truth AS label, sum(n) AS seen, CASE truth WHEN 0 THEN 19 WHEN 1 THEN 1 END AS w FROM c WHERE truth IN (0, 1) GROUP BY truth),
+p AS (SELECT label, seen, w / sum(w) OVER () AS share FROM s),
+j AS (SELECT truth, pred, share * n / seen AS mass FROM c JOIN p ON truth = label),
+g AS (SELECT pred AS label, sum(mass) AS said, coalesce(sum(mass) FILTER (WHERE pred = truth), 0) AS tp FROM j GROUP BY pred),
+m AS (SELECT p.label, share, coalesce(tp, 0) / nullif(said, 0) AS a, coalesce(tp, 0) / share AS r FROM p LEFT JOIN g USING (label))
+SELECT label, round(share, 6) AS share, round(a, 4) AS precision, round(r, 4) AS recall, coalesce(CASE WHEN a > 0 AND r > 0 THEN round(2 * a * r / (a + r), 4) END, 0) AS f1 FROM m"""
+
+
+def paired_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Low quality as a guess at toxicity, against never guessing it."""
+    return evaluate.paired_test(_read(spark, sf_dir, "labels"), F.col("toxic") == 1 - F.col("quality"), F.col("toxic") == 0)
+
+
+PAIRED_TEST = """
+WITH c AS (SELECT count(*) FILTER (WHERE toxic = 1 - quality AND toxic <> 0) AS a, count(*) FILTER (WHERE toxic <> 1 - quality AND toxic = 0) AS b FROM labels),
+t AS (SELECT unnest([(lgamma(a + b + 1) - lgamma(k + 1) - lgamma(a + b - k + 1)) / ln(10) - (a + b) * log10(2) for k in range(least(a, b) + 1)]) AS x FROM c),
+m AS (SELECT max(x) AS top FROM t), s AS (SELECT top + log10(sum(pow(10, x - top))) + log10(2) AS p FROM t JOIN m ON true GROUP BY top)
+SELECT a AS a_only, b AS b_only, round(least(0, p), 2) + 0.0::DOUBLE AS log10_p FROM c JOIN s ON true"""
+
+
+def source_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """80 / 10 / 10 within each language and source."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return evaluate.split_by_source(docs, ["lang", "source"], "doc_id", "17")
+
+
+SOURCE_SPLIT = """
+WITH k AS (SELECT doc_id, lang, source, md5('17|' || coalesce(lang, '') || '|' || coalesce(source, '') || '|' || doc_id) AS h FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY h, doc_id) AS i, count(*) OVER (PARTITION BY lang, source) AS n FROM k),
+c AS (SELECT *, floor(n * 0.8::DOUBLE) AS a, floor(n * 0.1::DOUBLE) AS b FROM r)
+SELECT doc_id, lang, source, CASE WHEN i <= a THEN 'train' WHEN i <= a + b THEN 'val' ELSE 'test' END AS part FROM c"""
+
 QUERIES = {
     "stem_counts": stem_counts,
     "normalize_documents": normalize_documents,
@@ -282,6 +339,10 @@ QUERIES = {
     "grouped_amounts": grouped_amounts,
     "spelled_numbers": spelled_numbers,
     "spelled_by_rules": spelled_by_rules,
+    "calibration_bins": calibration_bins,
+    "prior_shift": prior_shift,
+    "paired_test": paired_test,
+    "source_split": source_split,
 }
 ORACLE_SQL = {
     "stem_counts": STEM_COUNTS,
@@ -303,4 +364,8 @@ ORACLE_SQL = {
     "grouped_amounts": GROUPED_AMOUNTS,
     "spelled_numbers": SPELLED_NUMBERS,
     "spelled_by_rules": SPELLED_BY_RULES,
+    "calibration_bins": CALIBRATION_BINS,
+    "prior_shift": PRIOR_SHIFT,
+    "paired_test": PAIRED_TEST,
+    "source_split": SOURCE_SPLIT,
 }
