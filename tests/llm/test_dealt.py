@@ -96,6 +96,20 @@ def test_toxicity_finds_misspelled_terms_and_spares_quotations(spark):
     assert found[9001]["score"] > 0.5 > found[9003]["score"]
 
 
+def test_toxicity_catches_misspelled_terms_in_real_texts(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    clean = [r["text"].split()[:95] for r in docs.join(labels.where("toxic = 0"), "doc_id").where(labelled.is_held_out(F.col("doc_id"), 4, 2)).where(F.size(F.split("text", " ")) >= 120).orderBy("doc_id").limit(100).collect()]
+    wrong = ["idoit", "wortless", "patehtic", "disgustting", "stupidd"]
+    made = [(10_000_000 + i, " ".join(w)) for i, w in enumerate(clean)]
+    made += [(20_000_000 + i, " ".join([*w[:50], *wrong, *w[50:]])) for i, w in enumerate(clean)]
+    made += [(30_000_000 + i, " ".join([*w, "oron", "oron"])) for i, w in enumerate(clean)]
+    found = toxicity.toxicity(docs.union(spark.createDataFrame(made, "doc_id long, text string")), labels).where("doc_id >= 10000000")
+    rate = {r["part"]: r["rate"] for r in found.groupBy(F.expr("doc_id DIV 10000000").alias("part")).agg(F.avg("predicted").alias("rate")).collect()}
+    assert len(clean) == 100 and rate[2] > 0.95 and rate[1] < 0.05 and rate[3] < 0.05
+
+
 def test_levenshtein_automata_agree_with_distance():
     def distance(a, b):  # with swaps of neighbours, each letter edited once
         d = np.zeros((len(a) + 1, len(b) + 1), int)
