@@ -33,8 +33,11 @@ DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOGIN = re.compile(r"[^\s/?#@:<>\"']+(?::[^\s/?#@<>\"']*)?@[A-Za-z0-9.-]+(?::[0-9]+)?")
-ACCOUNT = re.compile(r"(?i:(?:\s*(?:number|nr|no|id))?)[\s.:#=]{1,4}([A-Za-z0-9](?:[ -]?[A-Za-z0-9])*)")
-ACCOUNT_WORD = re.compile(r"[A-Z0-9]*[0-9][A-Z0-9]*")
+ACCOUNT = re.compile(r"(?i:(?:\s*(?:number|nr|no|id))?)[\s.:#=]{1,4}(?=[A-Za-z0-9])")
+LONGEST = 34
+ACCOUNT_GROUP = re.compile(rf"[A-Z0-9]{{1,{LONGEST + 1}}}(?![A-Za-z0-9])")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+IBAN_START = re.compile(r"[A-Z]{2}[0-9]{2}")
 
 
 def automaton():
@@ -56,18 +59,48 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _digits(groups: list[str]) -> int:
+    return sum(c.isdigit() for g in groups for c in g)
+
+
+def _iban(groups: list[str]) -> bool:
+    whole = "".join(groups)
+    return bool(IBAN.fullmatch(whole)) and int("".join(str(int(c, 36)) for c in whole[4:] + whole[:4])) % 97 == 1
+
+
+def _prefix(groups: list[str], counts, digits: int = 4) -> int:
+    """Leading groups that count, up to the last one with a digit; 0 if they aren't 6 to 34 characters with that many digits."""
+    n = next((k for k, g in enumerate(groups) if not counts(k, g)), len(groups))
+    while n and not _digits(groups[n - 1 : n]):
+        n -= 1
+    return n if 6 <= sum(map(len, groups[:n])) <= LONGEST and _digits(groups[:n]) >= digits else 0
+
+
 def _account(text: str, at: int) -> tuple[int, int] | None:
-    """The identifier behind a cue that ends at `at`: groups of capitals and digits, 6 to 34 characters, 4 digits at least."""
-    found = ACCOUNT.match(text, at, at + 64)
+    """The identifier behind a cue that ends at `at`: groups of capitals and digits, 6 to 34 characters, 4 digits at least.
+
+    Groups of letters count in what is an IBAN by its check digits, or begins as one and is printed in fours; in others
+    short ones do where the groups of digits before them are no identifier by themselves and there are 6 digits.
+    """
+    found = ACCOUNT.match(text, at)
     if not found:
         return None
-    start = end = found.start(1)
-    size = digits = 0
-    for piece in re.finditer(r"[A-Za-z0-9]+", text[start : found.end(1)]):
-        if not ACCOUNT_WORD.fullmatch(piece[0]):
+    start = here = found.end()
+    groups: list[str] = []
+    ends: list[int] = []
+    while sum(map(len, groups)) <= LONGEST and (m := ACCOUNT_GROUP.match(text, here)):
+        groups.append(m[0])
+        ends.append(m.end())
+        if text[m.end() : m.end() + 1] not in (" ", "-"):
             break
-        end, size, digits = start + piece.end(), size + len(piece[0]), digits + sum(c.isdigit() for c in piece[0])
-    return (start, end) if 6 <= size <= 34 and digits >= 4 else None
+        here = m.end() + 1
+    n = next((k for k in range(len(groups), 0, -1) if _iban(groups[:k])), 0)
+    if not n:
+        n = _prefix(groups, lambda k, g: _digits([g]))
+        if IBAN_START.match("".join(groups)):
+            n = max(n, _prefix(groups, lambda k, g: len(g) <= 4 and all(len(x) == 4 for x in groups[:k])))
+        n = n or _prefix(groups, lambda k, g: _digits([g]) or len(g) <= 4, 6)
+    return (start, ends[n - 1]) if n else None
 
 
 def find(trie, text: str) -> list[tuple[str, int, int]]:

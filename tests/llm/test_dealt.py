@@ -419,6 +419,20 @@ def test_private_data(spark, docs):
     assert private_data.masked("call a@b.co now", [("email", 5, 11)]) == "call [email] now"
 
 
+def test_account_numbers_with_groups_of_letters_are_whole():
+    trie = private_data.automaton()
+    ids = ["GB29 NWBK 6016 1331 9268 19", "GB29 NWBK 6016 1331 9268 18", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "NL91 ABNA 0417 1643 00", "SC18 SSCB 1101 0000 0000 0000 1497 USD", "GB29NWBK60161331926819"]
+    for x in ids:
+        for before, after in (("IBAN ", ""), ("pay to iban: ", ", please"), ("IBAN ", " please"), ("IBAN ", " PLEASE PAY NOW")):
+            text = before + x + after
+            assert [text[a:b] for k, a, b in private_data.find(trie, text) if k == "account"] == [x], text
+    for blanks in (1, 20, 30, 500):
+        text = "account" + " " * blanks + "number: MT84 MAL1 0110 0001 2345 MTL1 AST0 01S"
+        assert private_data.masked(text, [x for x in private_data.find(trie, text) if x[0] == "account"]) == "account" + " " * blanks + "number: [account]"
+    for text, want in (("passport no. AB 123456 of", ["AB 123456"]), ("account 12345678 USD 500", ["12345678"]), ("ACCOUNT IN 2019", []), ("account " + "1" * 35, []), ("iban of no GB29 NWBK", [])):
+        assert [text[a:b] for k, a, b in private_data.find(trie, text) if k == "account"] == want, text
+
+
 def test_registered_queries_have_the_contracted_columns(spark):
     want = {
         "op1": "doc_id n_words n_removed kept_sha256", "op2": "doc_id held_out score predicted", "op3": "doc_id n_words n_hit n_items items_sha256 contaminated", "op4": "doc_id size source_size target taken",
