@@ -290,52 +290,68 @@ def _links(sets: DataFrame, percent: int, block: int, shingle_count: int) -> Dat
     return links
 
 
+def _first() -> F.Column:
+    """Its minimum is the row of the smallest doc_id, and one of a null doc_id only if there is no other."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+
+
 def jaccard_components(
     docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK, fetch_rows: int = FETCH_ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), text_hash (tells rows of one doc_id apart)."""
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), text_hash (tells rows of one doc_id apart),
+    component (the same for all rows of one component, whatever their ids; null for a row without shingles)."""
     own = tables.id_text(docs, id_col, text_col)
     hashed = own.withColumn("text_hash", F.xxhash64("text"))
     sketches = written(hashed.mapInArrow(_sketch(size), tables.schema(own, "text_hash long, n_shingles long, node long, keys array<long>")))
-    reps = written(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")))
+    reps = written(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min(_first()).alias("row")).select("node", "row.doc_id", "row.text_hash").withColumnRenamed("doc_id", "rep"))
     shared = written(_candidates(sketches))
     clusters = components(shared.select(F.col("node").alias("a"), F.col("low").alias("b")))
     root = clusters.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct()
     clusters = written(clusters.select("node", F.col("component").alias("cluster")).union(root).distinct())
-    wanted = written(clusters.join(reps, "node").select("node", "cluster", "rep"))
+    wanted = written(clusters.join(reps, "node").select("node", "cluster", "rep", "text_hash"))
     total = sketches.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if wanted.count() <= fetch_rows else ids.hint("merge")
-    texts = own.join(ids, "doc_id", "left_semi")
+    keys = wanted.select("rep", F.col("text_hash").alias("rep_hash")).distinct()
+    keys = F.broadcast(keys) if wanted.count() <= fetch_rows else keys.hint("merge")
+    texts = hashed.join(keys, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash")), "left_semi")
     sets = texts.select("text").mapInArrow(_sets(size), "node long, n long, tokens binary").dropDuplicates(["node"])
     sets = written(sets.join(wanted.select(F.col("node").alias("w"), "cluster"), F.col("node") == F.col("w")).select("node", "cluster", "n", "tokens"), "uncompressed")
     found = components(_links(sets, percent, block, total))
-    named = found.join(reps, "node")
+    named = found.join(reps, "node").select("node", "component", "rep")
     roots = reps.select(F.col("node").alias("component"), F.col("rep").alias("own"))
     lowest = named.join(roots, "component").groupBy("component").agg(F.least(F.min("rep"), F.min("own")).alias("component_id"))
-    merged = found.join(lowest, "component").select("node", "component_id")
-    merged = merged.union(lowest.select(F.col("component").alias("node"), "component_id"))
-    final = reps.join(merged, "node", "left").select(F.col("node").alias("m"), F.coalesce("component_id", "rep").alias("component_id"))
+    merged = found.join(lowest, "component").select("node", "component_id", "component")
+    merged = merged.union(lowest.select(F.col("component").alias("node"), "component_id", "component"))
+    final = reps.join(merged, "node", "left").select(F.col("node").alias("m"), F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "text_hash", "n_shingles", "node").join(final, F.col("node") == F.col("m"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, fetch_rows: int = FETCH_ROWS, **options) -> DataFrame:
-    """One document of each component of docs: that of the smallest doc_id, once.
+    """One row of each component of docs: one of the smallest doc_id, or of a null one where all ids are null.
 
     The keys of rows to leave out are broadcast while there are at most fetch_rows of them (16 bytes each), and joined
-    by a shuffle of the documents beyond that. Rows of a null doc_id stay unless a row with an id is in their component.
+    by a shuffle of the documents beyond that. A row without shingles stays, once for each id, unless its id is that of
+    a row with shingles that stays; those of a null doc_id all stay.
     """
     found = written(jaccard_components(docs, fetch_rows=fetch_rows, **options))
-    out = written(found.where("NOT (doc_id <=> component_id)").select("doc_id", "text_hash").distinct())
-    twice = written(found.where("doc_id = component_id").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"))
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(_first()).alias("row"), F.count("*").alias("rows"))
+    first = written(first.select(F.col("component").alias("c"), F.col("row.doc_id").alias("first_id"), F.col("row.text_hash").alias("first_hash"), "rows"))
     names = {c: f"lafz_{i}" for i, c in enumerate(("doc_id", "text_hash"))}
+    same = (F.col("doc_id").eqNullSafe(F.col(names["doc_id"]))) & (F.col("text_hash") == F.col(names["text_hash"]))
     match = (F.col("doc_id").eqNullSafe(F.col(names["doc_id"]))) & (F.xxhash64(F.col("text").cast("string")) == F.col(names["text_hash"]))
 
-    def keys(table: DataFrame) -> DataFrame:
-        table = table.withColumnsRenamed(names)
+    def few(table: DataFrame) -> DataFrame:
         return F.broadcast(table) if table.count() <= fetch_rows else table.hint("merge")
 
+    def keys(table: DataFrame) -> DataFrame:
+        return few(table.withColumnsRenamed(names))
+
+    several = found.join(few(first.where("rows > 1")), F.col("component") == F.col("c")).where("NOT (doc_id <=> first_id AND text_hash = first_hash)")
+    blank = few(found.where("component IS NULL AND doc_id IS NOT NULL").select("doc_id", "text_hash").distinct())
+    blank = first.select("first_id").distinct().join(blank, F.col("first_id") == F.col("doc_id"))
+    out = written(several.select("doc_id", "text_hash").union(blank.select("doc_id", "text_hash")).distinct())
+    twice = found.where("doc_id IS NOT NULL OR component IS NOT NULL").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    twice = written(twice.join(keys(out), same, "left_anti"))
     kept = docs.join(keys(out), match, "left_anti")
     if twice.isEmpty():
         return kept

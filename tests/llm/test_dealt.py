@@ -351,6 +351,18 @@ def test_jaccard_components(spark, docs):
     assert rows(found, "doc_id", "n_shingles", "component_id") == brute_components(texts(copies(spark)))
 
 
+def test_rows_without_ids_link_and_leave(spark):
+    bridge = [(1, "a b c d e f g h i j k l m n o", None), (None, "a b c d e f g h i j k l m n o p", None), (2, "a b c d e f g h i j k l m n o p q r", None)]
+    lone = [(None, "one two three four five six seven eight nine ten", None)] * 3 + [(None, "one two three four five six seven eight nine ten eleven", None)]
+    blank = [(None, None, None), (7, "", None), (7, "", None), (1, " ", None)]
+    frame = spark.createDataFrame(bridge + lone + blank, "doc_id long, text string, source string")
+    for fetch_rows in (shingle_join.FETCH_ROWS, 0):
+        found = shingle_join.jaccard_components(frame, fetch_rows=fetch_rows)
+        assert rows(found, "doc_id", "n_shingles", "component_id") == brute_components(texts(frame))
+        left = sorted(texts(shingle_join.drop_near_duplicates(frame, fetch_rows)), key=repr)
+        assert [(i, (t or "")[:3]) for i, t in left] == [(1, "a b"), (7, ""), (None, "one"), (None, "")]
+
+
 # 8
 
 
