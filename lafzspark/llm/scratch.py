@@ -11,11 +11,12 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where it is unset (tests on one machine)."""
+    """The session's spark.checkpoint.dir. Where it is unset, a temporary folder, but only if all tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="lafz-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lafz-checkpoint-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -23,8 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, codec: str = "zstd", batch_rows: int | None = None) -> DataFrame:
     """df, written once as Parquet to the shared folder and read again.
 
-    A lost executor then costs a read of that table, not the work behind it. The tables stay until the
-    application's folder under spark.checkpoint.dir is removed. batch_rows: rows of an Arrow batch during this
+    A lost executor then costs a read of that table, not the work behind it. The table stays until discard() or until
+    the application's folder under spark.checkpoint.dir is removed. batch_rows: rows of an Arrow batch during this
     write, for passes over whole texts, whose batches are held in both the JVM and Python.
     """
     spark = df.sparkSession
@@ -35,8 +36,19 @@ def written(df: DataFrame, codec: str = "zstd", batch_rows: int | None = None) -
     try:
         df.write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.set(BATCH_ROWS, before)
-    return spark.read.schema(df.schema).parquet(path)
+        if batch_rows:
+            spark.conf.set(BATCH_ROWS, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.lafz_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made, once all that reads them is written."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.lafz_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

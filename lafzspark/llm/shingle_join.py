@@ -12,12 +12,13 @@ keys, each of ROWS minima under random permutations of its set. (2) Nodes that s
 share none with anybody leave. Two sets at 0.8 share no key with a probability of (1 - 0.8**ROWS)**BANDS, 7e-10; this
 routing is the only step that isn't certain. (3) Components of the shared keys are clusters, cut into blocks of nodes
 of one size class (ratio 1.25, so only neighbouring classes can link) and of BLOCK nodes at most on average. (4) Trees
-of blocks are joined: first each block with itself, then with the first block of its class and the next, then those
-block pairs of which the nodes still aren't in one component. A task holds two blocks and returns a spanning forest,
-fewer links than nodes. (5) The links' components, and the smallest id of each.
+of blocks are joined: first each block with itself and with the first blocks of its class and of those beside it, then
+those block pairs of which the nodes still aren't in one component. A task holds four blocks at most and returns a
+spanning forest, fewer links than nodes. (5) The links' components, and the smallest id of each.
 
-Texts are read twice and never shuffled, unless more than FETCH_ROWS nodes are candidates (then the join that fetches
-their texts is a shuffled one). Nothing is collected.
+Places of nodes follow from their sizes alone, so the sets of candidates are shuffled twice: once to keep one of each,
+once to their block's task. Texts are read twice and never shuffled, unless more than FETCH_ROWS nodes are candidates
+(then the join that fetches their texts is a shuffled one). Nothing is collected.
 
 Defined cases: A-Z are lower-cased; a text of fewer than 5 words is one shingle of all of them; a null or blank text
 has no shingles and is its own component; repeated rows are one node; an empty table gives no rows; a null doc_id
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lafzspark.llm import scan, tables
 from lafzspark.llm.components import components
-from lafzspark.llm.scratch import partitions, written
+from lafzspark.llm.scratch import discard, partitions, written
 
 ROWS, BANDS = 4, 40
 BLOCK = 512
@@ -95,20 +96,20 @@ def _sketch(size: int):
     return run
 
 
+SETS = "cluster long, class int, part int, rows long, node long, n long, tokens binary"
+
+
 def _sets(size: int):
+    """The sets of placed texts; a document's set is made anew, so texts don't travel."""
+
     def run(batches):
         hasher = scan.Hasher()
         for batch in batches:
             for a, b in scan.slices(np.full(len(batch), 1), 512):
-                found = list(shingle_sets(batch.column("text").slice(a, b - a), size, hasher))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([_node(x) if len(x) else None for x in found], pa.int64()),
-                        pa.array([len(x) for x in found], pa.int64()),
-                        pa.array([x.tobytes() for x in found], pa.binary()),
-                    ],
-                    names=["node", "n", "tokens"],
-                )
+                part = batch.slice(a, b - a)
+                found = list(shingle_sets(part.column("text"), size, hasher))
+                made = [pa.array([_node(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "class", "part", "rows")), *made], names=["cluster", "class", "part", "rows", "node", "n", "tokens"])
 
     return run
 
@@ -222,72 +223,55 @@ def _join_task(percent: int):
     return run
 
 
-def _candidates(sketches: DataFrame) -> DataFrame:
-    """(key, node, low): nodes of keys that several nodes share, and the smallest node of each key."""
-    pairs = sketches.where("node IS NOT NULL").select(F.explode("keys").alias("key"), "node")
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes of keys that several nodes share, with the smallest node of each key."""
+    pairs = nodes.select(F.explode("keys").alias("key"), "node")
     shared = pairs.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    return pairs.join(shared.select(F.col("key").alias("k"), "low"), F.col("key") == F.col("k")).select("node", "low").distinct()
+    met = pairs.join(shared.select(F.col("key").alias("k"), "low"), F.col("key") == F.col("k"))
+    return met.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
 
 
-def _blocks(sets: DataFrame, block: int) -> DataFrame:
-    """Blocks of clusters: (node, cluster, class, part, n_parts, rows)."""
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1.25))).cast("int")
-    own = sets.select("node", "cluster", size_class.alias("class"))
-    whole = own.groupBy("cluster").agg(F.count("*").alias("rows"))
-    parts = own.groupBy("cluster", "class").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("n_parts"))
-    own = own.join(whole.withColumnRenamed("cluster", "c1"), F.col("cluster") == F.col("c1")).drop("c1")
-    parts = parts.select(F.col("cluster").alias("c2"), F.col("class").alias("k2"), "n_parts")
+def _placed(nodes: DataFrame, block: int) -> DataFrame:
+    """Nodes of clusters (node, cluster, rep, text_hash, n) with their block: class, part, and the cluster's rows."""
+    own = nodes.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1.25))).cast("int"))
+    parts = written(own.groupBy("cluster", "class").agg(F.count("*").alias("in_class")))
+    whole = parts.groupBy(F.col("cluster").alias("c1")).agg(F.sum("in_class").alias("rows"))
+    parts = parts.join(whole, F.col("cluster") == F.col("c1"))
+    parts = parts.select(F.col("cluster").alias("c2"), F.col("class").alias("k2"), "rows", F.ceil(F.col("in_class") / F.lit(float(block))).cast("int").alias("n_parts"))
     own = own.join(parts, (F.col("cluster") == F.col("c2")) & (F.col("class") == F.col("k2"))).drop("c2", "k2")
-    return own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("n_parts")).cast("int"))
-
-
-def _links(sets: DataFrame, percent: int, block: int, shingle_count: int) -> DataFrame:
-    """Verified links that give the components of the sets' links."""
-    spark = sets.sparkSession
-    spread = max(partitions(spark), shingle_count >> 19)
-    placed = written(_blocks(sets, block))
-    heavy = sets.select(F.col("node").alias("t_node"), "tokens")
-
-    def run(rows: DataFrame) -> DataFrame:
-        """rows: node, unit, side, known, bin."""
-        full = rows.join(heavy, F.col("node") == F.col("t_node")).select("bin", "unit", "side", "node", "known", "tokens")
-        return full.groupBy("bin").applyInArrow(_join_task(percent), EDGES)
-
-    small = placed.where(F.col("rows") <= block)
-    bin_ = F.pmod(F.xxhash64("cluster"), F.lit(spread)).alias("bin")
-    links = written(run(small.select("node", F.col("cluster").alias("unit"), F.lit(0).alias("side"), F.col("node").alias("known"), bin_)))
-    large = placed.where(F.col("rows") > block)
-    blocks = written(large.select("cluster", "class", "part").distinct())
-    if blocks.isEmpty():
-        return links
-    # Pairs of blocks in one class or the next; the first blocks of a class are met first.
-    other = blocks.select(F.col("cluster").alias("c2"), F.col("class").alias("k2"), F.col("part").alias("p2"))
-    near = (F.col("cluster") == F.col("c2")) & (((F.col("class") == F.col("k2")) & (F.col("part") <= F.col("p2"))) | (F.col("k2") == F.col("class") + 1))
-    pairs = blocks.join(other, near)
-    step = F.when((F.col("class") == F.col("k2")) & (F.col("part") == F.col("p2")), 0).when((F.col("part") == 0) | (F.col("p2") == 0), 1).otherwise(2)
-    pairs = written(pairs.withColumn("step", step).withColumn("unit", F.xxhash64("cluster", "class", "part", "k2", "p2")))
-    where = large.select("node", F.col("cluster").alias("c"), F.col("class").alias("k"), F.col("part").alias("p"))
-    for number in range(3):
-        own = pairs.where(F.col("step") == number)
-        named = where
-        if number:
-            found = components(links)
-            named = where.join(found.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node"), "left")
-        named = named.withColumn("known", F.coalesce("component", "node") if number else F.col("node"))
-        named = written(named.select("node", "c", "k", "p", "known"))
-        if number:  # without pairs whose nodes are in one component already
-            span = named.groupBy("c", "k", "p").agg(F.min("known").alias("lo"), F.max("known").alias("hi"))
-            ends = lambda i, c, k, p: span.select(F.col("c").alias(f"c_{i}"), F.col("k").alias(f"k_{i}"), F.col("p").alias(f"p_{i}"), F.col("lo").alias(f"lo_{i}"), F.col("hi").alias(f"hi_{i}"))
-            own = own.join(ends(1, 0, 0, 0), F.expr("cluster = c_1 AND class = k_1 AND part = p_1"))
-            own = own.join(ends(2, 0, 0, 0), F.expr("c2 = c_2 AND k2 = k_2 AND p2 = p_2"))
-            own = own.where("NOT (lo_1 = hi_1 AND lo_2 = hi_2 AND lo_1 = lo_2)").select(*pairs.columns)
-        if own.isEmpty():
-            continue
-        left = own.join(named, F.expr("cluster = c AND class = k AND part = p")).select("node", "unit", F.lit(0).alias("side"), "known")
-        right = own.where("step > 0").join(named, F.expr("c2 = c AND k2 = k AND p2 = p")).select("node", "unit", F.lit(1).alias("side"), "known")
-        both = left.union(right).withColumn("bin", F.col("unit"))
-        links = written(links.union(run(both)))
-    return links
+    return own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("n_parts")).cast("int")).drop("n_parts")
+
+
+def _run(rows: DataFrame, percent: int) -> DataFrame:
+    """Links inside each unit. rows: bin, unit, side, node, known, tokens."""
+    return rows.select("bin", "unit", "side", "node", "known", "tokens").groupBy("bin").applyInArrow(_join_task(percent), EDGES)
+
+
+def _first_blocks(large: DataFrame, percent: int) -> DataFrame:
+    """Links of each block with itself and with the first blocks of its class and of the two beside it."""
+    unit = lambda c, k, p: F.xxhash64(F.col(c), F.col(k), F.col(p))
+    own = large.select(unit("cluster", "class", "part").alias("unit"), F.lit(0).alias("side"), "node", F.col("node").alias("known"), "tokens")
+    heads = large.where("part = 0").select("cluster", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("k"), F.col("class").alias("own_class"), "node", "tokens")
+    blocks = large.select(F.col("cluster").alias("c2"), F.col("class").alias("k2"), F.col("part").alias("p2")).distinct()
+    met = heads.join(blocks, F.expr("cluster = c2 AND k = k2 AND (own_class <> k2 OR p2 > 0)"))
+    met = met.select(unit("c2", "k2", "p2").alias("unit"), F.lit(1).alias("side"), "node", F.col("node").alias("known"), "tokens")
+    return _run(own.union(met).withColumn("bin", F.col("unit")), percent)
+
+
+def _other_blocks(large: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links of the block pairs that are left, but for those whose nodes are all in one component by now."""
+    named = large.join(found.select(F.col("node").alias("f"), "component"), F.col("node") == F.col("f"), "left").drop("f")
+    named = named.withColumn("known", F.coalesce("component", "node")).drop("component")
+    span = written(named.groupBy("cluster", "class", "part").agg(F.min("known").alias("lo"), F.max("known").alias("hi")))
+    other = span.select(F.col("cluster").alias("c2"), F.col("class").alias("k2"), F.col("part").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    near = F.expr("cluster = c2 AND part > 0 AND p2 > 0 AND ((class = k2 AND part < p2) OR k2 = class + 1) AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
+    pairs = span.join(other, near).select("cluster", "class", "part", "k2", "p2").withColumn("unit", F.xxhash64("cluster", "class", "part", "k2", "p2"))
+    sides = pairs.select("unit", F.inline(F.array(
+        F.struct(F.col("cluster").alias("c"), F.col("class").alias("k"), F.col("part").alias("p"), F.lit(0).alias("side")),
+        F.struct(F.col("cluster").alias("c"), F.col("k2").alias("k"), F.col("p2").alias("p"), F.lit(1).alias("side")),
+    )))
+    rows = sides.join(named, F.expr("c = cluster AND k = class AND p = part"))
+    return _run(rows.withColumn("bin", F.col("unit")), percent)
 
 
 def _first() -> F.Column:
@@ -300,28 +284,41 @@ def jaccard_components(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach), text_hash (tells rows of one doc_id apart),
     component (the same for all rows of one component, whatever their ids; null for a row without shingles)."""
+    spark = docs.sparkSession
     own = tables.id_text(docs, id_col, text_col)
     hashed = own.withColumn("text_hash", F.xxhash64("text"))
     sketches = written(hashed.mapInArrow(_sketch(size), tables.schema(own, "text_hash long, n_shingles long, node long, keys array<long>")))
-    reps = written(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min(_first()).alias("row")).select("node", "row.doc_id", "row.text_hash").withColumnRenamed("doc_id", "rep"))
-    shared = written(_candidates(sketches))
-    clusters = components(shared.select(F.col("node").alias("a"), F.col("low").alias("b")))
-    root = clusters.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct()
-    clusters = written(clusters.select("node", F.col("component").alias("cluster")).union(root).distinct())
-    wanted = written(clusters.join(reps, "node").select("node", "cluster", "rep", "text_hash"))
-    total = sketches.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    keys = wanted.select("rep", F.col("text_hash").alias("rep_hash")).distinct()
-    keys = F.broadcast(keys) if wanted.count() <= fetch_rows else keys.hint("merge")
-    texts = hashed.join(keys, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash")), "left_semi")
-    sets = texts.select("text").mapInArrow(_sets(size), "node long, n long, tokens binary").dropDuplicates(["node"])
-    sets = written(sets.join(wanted.select(F.col("node").alias("w"), "cluster"), F.col("node") == F.col("w")).select("node", "cluster", "n", "tokens"), "uncompressed")
-    found = components(_links(sets, percent, block, total))
-    named = found.join(reps, "node").select("node", "component", "rep")
-    roots = reps.select(F.col("node").alias("component"), F.col("rep").alias("own"))
-    lowest = named.join(roots, "component").groupBy("component").agg(F.least(F.min("rep"), F.min("own")).alias("component_id"))
-    merged = found.join(lowest, "component").select("node", "component_id", "component")
-    merged = merged.union(lowest.select(F.col("component").alias("node"), "component_id", "component"))
-    final = reps.join(merged, "node", "left").select(F.col("node").alias("m"), F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "node").alias("component"))
+    nodes = sketches.where("node IS NOT NULL").groupBy("node").agg(F.min(_first()).alias("row"), F.max("n_shingles").alias("n"))
+    nodes = written(nodes.select("node", F.col("row.doc_id").alias("rep"), "row.text_hash", "n"))
+    shared = written(_candidates(sketches.where("node IS NOT NULL")))
+    clusters = components(shared)
+    placed = written(_placed(clusters.select(F.col("node").alias("m"), F.col("component").alias("cluster")).join(nodes, F.col("m") == F.col("node")).drop("m"), block))
+    discard(shared)
+    # One row of each node brings its text; beyond fetch_rows of them (some 50 bytes each) the join is a shuffled one.
+    few = placed.count() <= fetch_rows
+    keys = placed.withColumnRenamed("text_hash", "rep_hash").withColumnRenamed("node", "placed_node")
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
+    texts = hashed.join(F.broadcast(keys) if few else keys.hint("merge"), same).select("cluster", "class", "part", "rows", "text")
+    sets = written(texts.mapInArrow(_sets(size), SETS).dropDuplicates(["node"]), "uncompressed")
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    small, large = sets.where(F.col("rows") <= block), written(sets.where(F.col("rows") > block), "uncompressed")
+    spread = max(partitions(spark), total >> 19)
+    bins = F.pmod(F.xxhash64("cluster"), F.lit(spread))
+    links = _run(small.select(bins.alias("bin"), F.col("cluster").alias("unit"), F.lit(0).alias("side"), "node", F.col("node").alias("known"), "tokens"), percent)
+    links = written(links)
+    if not large.isEmpty():
+        links = written(links.union(_first_blocks(large, percent)))
+        found = components(links)
+        rest = written(_other_blocks(large, found, percent))
+        if not rest.isEmpty():
+            found = components(links.union(rest))
+    else:
+        found = components(links)
+    named = nodes.join(found.select(F.col("node").alias("f"), "component"), F.col("node") == F.col("f"), "left")
+    named = named.select("node", "rep", F.coalesce("component", "node").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    final = written(named.join(lowest, "component").select(F.col("node").alias("m"), "component_id", "component"))
+    discard(sets, large, placed)
     out = sketches.select("doc_id", "text_hash", "n_shingles", "node").join(final, F.col("node") == F.col("m"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "component")
 
