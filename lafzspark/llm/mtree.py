@@ -1,117 +1,149 @@
-"""Exact top-k search by inner product over integer vectors, with M-trees.
-
-Method: every block of vectors is an M-tree in pages: a node has a centre (one of its vectors), a covering radius and
-its distance to its parent's centre. Search is best-first. The metric is Euclid's; within a ball around c of radius r
-no vector scores above <q, c> + |q| r, and <q, c> itself is at most <q, parent> + |q| d(parent, c), so by the stored
-distance many nodes are dropped before their own product is computed. A query's floor (the k-th best score known for
-it) drops every node that can't reach it; ties at the floor are kept.
-
-Plan. Vectors go to blocks of about BLOCK rows by nearest routing vector, and by a hash of the id within a routing
-vector's rows, so that a vector that a third of all rows share becomes many blocks. Queries go in groups of about
-QUERIES rows. Each (block, group) is one task's work with a bounded size: a vector moves once for each group of
-queries, a query once for each block. The routing vectors are also scored for every query first, which gives its first
-floor: a block returns only what reaches it, so the rows that meet for the last ranking are few. The result is exact
-whatever the sample: it only orders the work and sets floors that the sample itself reaches.
+"""Exact top-k search by inner product over integer vectors, with an M-tree whose pages are rows of a table.
+
+Method: the tree has three levels. A block of about BLOCK vectors has a centre and a covering radius; it holds pages of
+about PAGE vectors, each with its own centre (one of its vectors), its covering radius and its distance to the block's
+centre. The metric is Euclid's: within a ball around c of radius r no vector scores above <q, c> + |q| r, and <q, c>
+is at most <q, block> + |q| d(c, block), so by the stored distance a page is dropped before its own product is computed.
+Blocks and pages are searched best first, by the highest score that they may hold; a query's floor (the k-th best
+score known for it) drops all that can't reach it, and ties at the floor are kept. Queries are handled many at a time,
+so that bounds and scores are products of matrices.
+
+Plan. (1) Of equal vectors only the k + 1 of the smallest ids can be among k best; the others leave, so a vector that
+a third of all rows share is k + 1 rows. (2) Vectors go to blocks by the nearest of ROUTES routing vectors and, within
+one's rows, by a hash of the id; one task builds a block's pages, and the tree is written. (3) Queries form chunks of
+about QUERIES rows of one route. A bounded sample of vectors gives first floors, the chunk's own block better ones.
+(4) A chunk meets those groups of GROUP blocks in which a block's highest possible score reaches its lowest floor: one
+task for each (chunk, group), of bounded size, which returns k rows for a query at most. The sample only orders the
+work and sets floors that it reaches itself, so the result is exact whatever it holds.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, neither do rows with
-a null id; vectors of another length than the first by id score by their common components; repeated ids are
-candidates each for itself, but a query only once, and a query's own id is never its candidate; fewer than k
-candidates give what there is; an empty table gives no rows.
+a null id; vectors of another length than the longest score by their common components; repeated ids are candidates
+each for itself, but one query, with the smallest of its vectors (by its bytes), and a query's own id is never its
+candidate; fewer than k candidates give what there is; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lafzspark.llm.scratch import written
+from lafzspark.llm.scratch import discard, written
 
-BLOCK = 4096
-QUERIES = 8192
+BLOCK = 1024
+GROUP = 8
+QUERIES = 1024
 ROUTES = 64
 SAMPLE = 1024
-PAGE = 32
+PAGE = 64
+LOWEST = np.iinfo(np.int64).min
+SLACK = 1e-6  # bounds are in floating point; scores are whole numbers, exact in doubles
+PAGES = "block long, bound binary, bound_radius double, page int, centre binary, radius double, to_block double, ids binary, vectors binary"
 
 
-class Node:
-    """A page: rows (a leaf) or children, around the vector `centre`."""
+def _packed(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(a).tobytes()
 
-    __slots__ = ("centre", "children", "radius", "rows", "to_parent")
 
-    def __init__(self, centre: np.ndarray, rows: np.ndarray | None, children: list[Node] | None, radius: float):
-        self.centre, self.rows, self.children, self.radius, self.to_parent = centre, rows, children, radius, 0.0
+def _lengths(a: np.ndarray) -> np.ndarray:
+    return np.sqrt((a * a).sum(-1))
 
 
-def build(vectors: np.ndarray, rows: np.ndarray, page: int = PAGE) -> Node:
-    """A tree over vectors[rows], split by nearest of far-apart centres until a page holds a node."""
-    own = vectors[rows].astype(np.float64)
-    centre = own[np.argmin(((own - own.mean(0)) ** 2).sum(1))]
-    reach = np.sqrt(((own - centre) ** 2).sum(1))
-    if len(rows) <= page or reach.max() == 0:
-        return Node(centre, rows, None, float(reach.max()))
-    fan = min(page, -(-len(rows) // page) + 1)
-    best, owner, at = np.full(len(rows), np.inf), np.zeros(len(rows), np.int64), int(np.argmax(reach))
-    for k in range(fan):  # farthest-first centres
-        far = ((own - own[at]) ** 2).sum(1)
+def pages(vectors: np.ndarray, page: int = PAGE) -> list[np.ndarray]:
+    """Rows of each page: by the nearest of centres that are far apart; a page of more rows is cut by distance."""
+    n = -(-len(vectors) // page)
+    best, owner = np.full(len(vectors), np.inf), np.zeros(len(vectors), np.int64)
+    at = int(np.argmax(((vectors - vectors.mean(0)) ** 2).sum(1)))
+    for k in range(n):
+        far = ((vectors - vectors[at]) ** 2).sum(1)
         owner[far < best] = k
         best = np.minimum(best, far)
         at = int(np.argmax(best))
         if best[at] == 0:
             break
-    children = [build(vectors, rows[owner == k], page) for k in range(fan) if (owner == k).any()]
-    if len(children) == 1:
-        return Node(centre, rows, None, float(reach.max()))
-    node = Node(centre, None, children, float(reach.max()))
-    for c in children:
-        c.to_parent = float(np.sqrt(((c.centre - centre) ** 2).sum()))
-    return node
-
-
-SLACK = 1e-6  # bounds are in floating point, scores in integers
-
-
-def search(root: Node, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, floor: int, k: int) -> list[tuple[int, int]]:
-    """(score, id) of the k best at or above floor, in order; ids break ties."""
-    size = float(np.sqrt((query.astype(np.float64) ** 2).sum()))
-    top: list[tuple[int, int]] = []  # a heap, worst first, of (score, -id)
-    product = float(root.centre @ query)
-    heap = [(-(product + size * root.radius), 0, product, root)]
-    n = 0
-    while heap:
-        bound, _, product, node = heapq.heappop(heap)
-        if -bound + SLACK < floor:
-            break
-        if node.rows is not None:
-            scores = vectors[node.rows] @ query
-            for i in np.flatnonzero(scores >= floor).tolist():
-                x = int(ids[node.rows[i]])
-                if x == own:
-                    continue
-                entry = (int(scores[i]), -x)
-                if len(top) < k:
-                    heapq.heappush(top, entry)
-                elif entry > top[0]:
-                    heapq.heapreplace(top, entry)
-            if len(top) == k:
-                floor = max(floor, top[0][0])
-            continue
-        for c in node.children:
-            if product + size * (c.to_parent + c.radius) + SLACK < floor:
+    out = []
+    for k in range(n):
+        rows = np.flatnonzero(owner == k)
+        rows = rows[np.argsort(best[rows], kind="stable")]
+        out += [rows[a : a + page] for a in range(0, len(rows), page)]
+    return out
+
+
+def _build(width: int, page: int):
+    """The pages of one block."""
+
+    def run(table):
+        vectors, ids = _matrix(table.column("v"), width), np.array(table.column("vec_id").to_pylist(), np.int64)
+        order = np.argsort(ids, kind="stable")
+        vectors, ids = vectors[order], ids[order]
+        bound = np.rint(vectors.mean(0))
+        reach = float(_lengths(vectors - bound).max())
+        rows = []
+        for number, at in enumerate(pages(vectors, page)):
+            own = vectors[at]
+            centre = own[np.argmin(_lengths(own - own.mean(0)))]
+            rows.append((table.column("block")[0].as_py(), _packed(bound), reach, number, _packed(centre), float(_lengths(own - centre).max()), float(_lengths(centre - bound)), _packed(ids[at]), _packed(own)))
+        return pa.table(dict(zip([c.split()[0] for c in PAGES.split(", ")], zip(*rows, strict=True), strict=True)), schema=_arrow(PAGES))
+
+    return run
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    return pa.schema([(c, kinds[k]) for c, k in (x.split() for x in ddl.split(", "))])
+
+
+class Search:
+    """The best rows of many queries at a time."""
+
+    def __init__(self, queries: np.ndarray, own: np.ndarray, floors: np.ndarray, k: int):
+        self.queries, self.own, self.floors, self.k = queries, own, floors.astype(np.float64), k
+        self.lengths = _lengths(queries)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+
+    def block(self, bound: np.ndarray, reach: float, own_pages: list[tuple[np.ndarray, float, float, np.ndarray, np.ndarray]]) -> None:
+        """own_pages: centre, radius, distance to the block's centre, ids, vectors."""
+        product = self.queries @ bound
+        near = np.flatnonzero(product + self.lengths * reach + SLACK >= self.floors)
+        if not len(near):
+            return
+        ways = np.array([p[1] + p[2] for p in own_pages])
+        most = (product[near, None] + self.lengths[near, None] * ways).max(0)
+        for i in np.argsort(-most).tolist():  # best first
+            centre, radius, away, ids, vectors = own_pages[i]
+            some = near[product[near] + self.lengths[near] * (away + radius) + SLACK >= self.floors[near]]
+            if not len(some):
+                continue
+            some = some[self.queries[some] @ centre + self.lengths[some] * radius + SLACK >= self.floors[some]]
+            if not len(some):
                 continue
-            p = float(c.centre @ query)
-            b = p + size * c.radius
-            if b + SLACK >= floor:
-                n += 1
-                heapq.heappush(heap, (-b, n, p, c))
-    return sorted(((s, -x) for s, x in top), key=lambda e: (-e[0], e[1]))
+            scores = self.queries[some] @ vectors.T
+            q, v = np.nonzero((scores >= self.floors[some, None]) & (ids[None, :] != self.own[some, None]))
+            self.held.append((some[q], scores[q, v], ids[v]))
+            self.rows += len(q)
+            if self.rows > 4 * self.k * len(self.own) + 65536:
+                self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keep the k best of each query (ids break ties) and raise the floors to them."""
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        q, score, ids = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((ids, -score, q))
+        q, score, ids = q[order], score[order], ids[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = rank == self.k - 1
+        self.floors[q[last]] = np.maximum(self.floors[q[last]], score[last])
+        keep = (rank < self.k) & (score >= self.floors[q])
+        self.held = [(q[keep], score[keep], ids[keep])]
+        self.rows = int(keep.sum())
+        return self.held[0]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width), np.int64)
+    out = np.zeros((len(column), width))
     for i, raw in enumerate(column):
         v = np.frombuffer(raw.as_py(), "<i8")[:width]
         out[i, : len(v)] = v
@@ -136,86 +168,151 @@ def _quantise(scale: int):
     return run
 
 
+def _nearest(centres: np.ndarray):
+    size = (centres**2).sum(1)
+    return lambda v: np.argmin(size - 2.0 * (v @ centres.T), axis=1)
+
+
 def _route(centres: np.ndarray):
     """The nearest routing vector of each row."""
-    size = (centres.astype(np.float64) ** 2).sum(1)
+    nearest = _nearest(centres)
 
     def run(batches):
         for batch in batches:
             v = _matrix(batch.column("v"), centres.shape[1])
-            near = np.argmin(size - 2.0 * (v @ centres.T), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(near, pa.int32())], names=["vec_id", "v", "route"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(nearest(v), pa.int32())], names=["vec_id", "v", "route"])
 
     return run
 
 
-def _floors(vectors: np.ndarray, ids: np.ndarray, k: int):
-    """Each query's k-th best score over the sample, its own row left out; the lowest number if the sample is smaller."""
+def _floors(vectors: np.ndarray, ids: np.ndarray, k: int, centres: np.ndarray):
+    """Each query's k-th best score over the sample, its own row left out (the lowest number if the sample is smaller), and its route."""
+    route = _nearest(centres)
 
     def run(batches):
         for batch in batches:
             own = np.array(batch.column("vec_id").to_pylist(), np.int64)
             if not len(own):
                 continue
-            scores = _matrix(batch.column("v"), vectors.shape[1]) @ vectors.T
+            queries = _matrix(batch.column("v"), vectors.shape[1])
+            scores = queries @ vectors.T
             scores[own[:, None] == ids[None, :]] = LOWEST
-            floor = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(own), LOWEST)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(floor, pa.int64())], names=["query_id", "q", "floor"])
+            floor = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(own), float(LOWEST))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(floor, pa.float64()), pa.array(route(queries), pa.int32())], names=["query_id", "q", "floor", "route"])
 
     return run
 
 
-LOWEST = np.iinfo(np.int64).min
+CHUNK = "chunk long, home long, ids binary, queries binary, floors binary, centre binary, radius double, longest double, lowest double"
+
+
+def _chunk(width: int):
+    """The queries of a chunk as one row, with a ball around them."""
+
+    def run(table):
+        table = table.sort_by("query_id")
+        queries = _matrix(table.column("q"), width)
+        centre = np.rint(queries.mean(0))
+        floors = table.column("floor").to_numpy()
+        row = (table.column("chunk")[0].as_py(), table.column("home")[0].as_py(), _packed(table.column("query_id").to_numpy()), _packed(queries), _packed(floors), _packed(centre), float(_lengths(queries - centre).max()), float(_lengths(queries).max()), float(floors.min()))
+        return pa.table({f.name: [x] for f, x in zip(_arrow(CHUNK), row, strict=True)}, schema=_arrow(CHUNK))
+
+    return run
+
+
+def _search(width: int, k: int, chunk: dict, tree: pa.Table) -> Search:
+    view = lambda raw, kind=np.float64: np.frombuffer(raw, kind)
+    found = Search(view(chunk["queries"]).reshape(-1, width), view(chunk["ids"], np.int64), view(chunk["floors"]), k)
+    blocks: dict[int, list] = {}
+    for r in tree.to_pylist():
+        at = blocks.setdefault(r["block"], [view(r["bound"]), r["bound_radius"], []])
+        at[2].append((view(r["centre"]), r["radius"], r["to_block"], view(r["ids"], np.int64), view(r["vectors"]).reshape(-1, width)))
+    centre = view(chunk["centre"])
+    for bound, reach, own in sorted(blocks.values(), key=lambda x: -(float(x[0] @ centre) + chunk["longest"] * x[1])):
+        found.block(bound, reach, own)
+    return found
 
 
-def _search_block(width: int, k: int):
+def _search_group(width: int, k: int):
     def run(left, right):
-        rows: list[tuple[int, int, int]] = []
-        if left.num_rows and right.num_rows:
-            vectors, ids = _matrix(left.column("v"), width), np.array(left.column("vec_id").to_pylist(), np.int64)
-            root = build(vectors, np.arange(len(ids)))
-            queries = _matrix(right.column("q"), width)
-            for own, q, floor in zip(right.column("query_id").to_pylist(), queries, right.column("floor").to_pylist(), strict=True):
-                rows += [(own, x, s) for s, x in search(root, vectors, ids, q, own, floor, k)]
-        a = np.array(rows, np.int64).reshape(-1, 3)
-        return pa.table({"query_id": a[:, 0], "vec_id": a[:, 1], "score": a[:, 2]})
+        out = []
+        for chunk in right.to_pylist():
+            found = _search(width, k, chunk, left)
+            q, score, ids = found.cut()
+            out.append((found.own[q], ids, score.astype(np.int64)))
+        a = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        return pa.table({"query_id": a[0], "vec_id": a[1], "score": a[2]})
 
     return run
 
 
+def _raise(width: int, k: int):
+    """The chunk again, with the floors that its own block gives."""
+
+    def run(left, right):
+        out = []
+        for chunk in right.to_pylist():
+            found = _search(width, k, chunk, left)
+            found.cut()
+            out.append(chunk | {"floors": _packed(found.floors), "lowest": float(found.floors.min())})
+        return pa.Table.from_pylist(out, schema=_arrow(CHUNK))
+
+    return run
+
+
+def _reach(batches):
+    """Pairs of a chunk and a block in which a score can reach the chunk's lowest floor."""
+    for batch in batches:
+        keep = []
+        for r in batch.select(["bound", "bound_radius", "centre", "radius", "longest", "lowest"]).to_pylist():
+            c, b = np.frombuffer(r["centre"]), np.frombuffer(r["bound"])
+            keep.append(float(c @ b) + r["radius"] * float(_lengths(b)) + r["longest"] * r["bound_radius"] + SLACK >= r["lowest"])
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["block", "chunk"])
+
+
 def exact_top_k(
-    vectors: DataFrame, is_query, k: int = 20, scale: int = 64, block: int = BLOCK, queries_at_once: int = QUERIES, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding"
-) -> DataFrame:
+    vectors: DataFrame, is_query, k: int = 20, scale: int = 64, block: int = BLOCK, queries_at_once: int = QUERIES, sample: int = SAMPLE, page: int = PAGE, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> DataFrame:
     """query_id, rank, vec_id, score for every row for which is_query (a condition on vec_id) holds."""
     own = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     rows = written(own.mapInArrow(_quantise(scale), "vec_id long, v binary"))
     # A bounded sample, chosen by hash of the id: routing vectors and first floors.
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    width = max((len(r["v"]) // 8 for r in picked), default=1)
-    width = max(width, (rows.agg(F.max(F.length("v"))).first()[0] or 8) // 8)
-    points = np.zeros((max(1, len(picked)), width), np.int64)
-    for i, r in enumerate(picked):
-        v = np.frombuffer(bytes(r["v"]), "<i8")
-        points[i, : len(v)] = v
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).collect()
+    total, longest = rows.agg(F.count("*"), F.coalesce(F.max(F.length("v")), F.lit(8))).first()
+    width = longest // 8
+    points = _matrix(pa.array([bytes(r["v"]) for r in picked], pa.binary()), width) if picked else np.zeros((1, width))
     ids = np.array([r["vec_id"] for r in picked] or [0], np.int64)
-    points = points[: len(picked)] if picked else points
-    routes = np.unique(points, axis=0)[:ROUTES]
-    routed = written(rows.mapInArrow(_route(routes), "vec_id long, v binary, route int"))
+    routes = np.unique(points, axis=0)[: max(1, min(ROUTES, -(-total // block)))]
+    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    routed = written(few.select("vec_id", "v").mapInArrow(_route(routes), "vec_id long, v binary, route int"))
     shares = routed.groupBy("route").agg(F.ceil(F.count("*") / F.lit(float(block))).alias("n"))
-    starts = shares.withColumn("first", F.sum("n").over(Window.orderBy("route").rowsBetween(Window.unboundedPreceding, -1)))
-    starts = starts.select("route", "n", F.coalesce("first", F.lit(0)).alias("first"))
+    starts = shares.withColumn("first", F.sum("n").over(Window.orderBy("route").rowsBetween(Window.unboundedPreceding, -1)))  # ROUTES rows
+    starts = written(starts.select(F.col("route").alias("at"), "n", F.coalesce("first", F.lit(0)).cast("long").alias("first")))
     number = (F.col("first") + F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.col("n"))).alias("block")
-    blocked = routed.join(F.broadcast(starts), "route").select("vec_id", "v", number)
-    n_blocks = int(shares.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    asked = written(rows.where(is_query).dropDuplicates(["vec_id"]).mapInArrow(_floors(points, ids, k), "query_id long, q binary, floor long"))
-    groups = max(1, -(-asked.count() // queries_at_once))
-    group = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")
-    left = blocked.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = asked.withColumn("grp", group).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n_blocks - 1)).cast("long"))))
-    pairs = left.groupBy("block", "grp").cogroup(right.groupBy("block", "grp"))
-    found = pairs.applyInArrow(_search_block(width, k), "query_id long, vec_id long, score long")
+    blocked = routed.join(F.broadcast(starts), F.col("route") == F.col("at")).select("vec_id", "v", number)
+    tree = written(blocked.groupBy("block").applyInArrow(_build(width, page), PAGES))
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = written(asked.mapInArrow(_floors(points, ids, k, routes), "query_id long, q binary, floor double, route int"))
+    parts = asked.groupBy("route").agg(F.ceil(F.count("*") / F.lit(float(queries_at_once))).alias("parts"))
+    parts = parts.join(starts, F.col("route") == F.col("at"), "left").select(F.col("route").alias("at"), "parts", F.coalesce("first", F.lit(0).cast("long")).alias("home"))
+    part = F.pmod(F.xxhash64("query_id"), F.col("parts"))
+    dealt = asked.join(F.broadcast(parts), F.col("route") == F.col("at")).withColumn("chunk", F.xxhash64("route", part))
+    chunks = written(dealt.select("chunk", "home", "query_id", "q", "floor").groupBy("chunk").applyInArrow(_chunk(width), CHUNK))
+    homes = tree.join(F.broadcast(chunks.select(F.col("home").alias("h")).distinct()), F.col("block") == F.col("h"), "left_semi")  # ROUTES blocks
+    chunks = written(homes.groupBy("block").cogroup(chunks.groupBy("home")).applyInArrow(_raise(width, k), CHUNK))
+    # Each block's ball against each chunk's: the stated queries in chunks, against all rows in blocks.
+    n_blocks = shares.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    outlines = chunks.select("chunk", "centre", "radius", "longest", "lowest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks).cast("long"))).alias("b"))
+    balls = tree.where("page = 0").select("block", "bound", "bound_radius")
+    pairs = written(outlines.join(balls, F.col("b") == F.col("block")).mapInArrow(_reach, "block long, chunk long"))
+    group = F.floor(F.col("block") / GROUP)
+    left = tree.join(pairs.withColumnRenamed("block", "b"), F.col("block") == F.col("b")).drop("b").withColumn("grp", group)
+    met = pairs.select(F.col("chunk").alias("c"), group.alias("grp")).distinct()
+    right = chunks.join(met, F.col("chunk") == F.col("c")).drop("c")
+    found = left.groupBy("chunk", "grp").cogroup(right.groupBy("chunk", "grp")).applyInArrow(_search_group(width, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = written(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    discard(rows, routed, asked)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
