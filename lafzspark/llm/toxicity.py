@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, namedtuple
 from collections.abc import Iterable
 
@@ -34,8 +35,6 @@ from pyspark.sql import functions as F
 
 from lafzspark.llm import labelled, scan, tables
 
-TERMS = 4096
-ENTRIES = 512
 MODULUS, HELD = 4, 2
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W_]+")
@@ -43,7 +42,7 @@ STEM_SIZES = range(4, 8)
 STEM_FORMS = 6
 #: How much more often, as a logarithm, documents with label 1 have a word of the lexicon.
 ODDS = 3.0
-QUOTES = '"“”«»„'
+QUOTE = re.compile('["“”«»„]')
 REPORTING = frozenset("said says wrote writes called calling quote quoted quotes word words term insult insults reported dit disait sagte schrieb dijo palabra mot wort".split())
 CONTEXT = 6
 #: Longest entries get two edits; short ones would meet ordinary words.
@@ -190,6 +189,19 @@ def terms(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def _quoted(text: str, places: list[int]) -> list[bool]:
+    """Which places stand behind an odd number of quotation marks of their line, with another one behind them in it."""
+    marks = [m.start() for m in QUOTE.finditer(text)]
+    if not marks:
+        return [False] * len(places)
+    out = []
+    for at in places:
+        first, last = bisect_left(marks, text.rfind("\n", 0, at) + 1), bisect_left(marks, at)
+        end = text.find("\n", at)
+        out.append((last - first) % 2 == 1 and last < len(marks) and (end < 0 or marks[last] < end))
+    return out
+
+
 def features(automaton: Automaton, text: str) -> tuple[float, ...]:
     """Abusive hits, misspelled ones, quoted ones, and the number of all words."""
     if len(automaton.states) > automaton.HELD:
@@ -200,14 +212,13 @@ def features(automaton: Automaton, text: str) -> tuple[float, ...]:
     if not found:
         return (0.0, 0.0, 0.0, float(len(words)))
     plain = close = quoted = 0
-    marks = sorted(m.start() for q in QUOTES for m in re.finditer(q, lowered)) if any(q in lowered for q in QUOTES) else []
     before: list[str] = []
-    inside = np.searchsorted(marks, [m.start() for m in WORD.finditer(lowered) if m[0] in found]) if marks else None
+    inside = _quoted(lowered, [m.start() for m in WORD.finditer(lowered) if m[0] in found])
     k = 0
     for w in words:
         e = found.get(w)
         if e is not None:
-            if (inside is not None and inside[k] % 2) or not REPORTING.isdisjoint(before[-CONTEXT:]):
+            if inside[k] or not REPORTING.isdisjoint(before[-CONTEXT:]):
                 quoted += 1
             elif e:
                 close += 1
@@ -260,7 +271,7 @@ def lexicon(train: DataFrame) -> list[tuple[str, bool]]:
     least = max(4, yes // 200)
     # A word of the lexicon is not just rare: it must be frequent, and nearly absent elsewhere.
     counts = counts.withColumn("odds", odds).where((F.col("odds") >= ODDS) & (F.col("yes") >= F.when(F.col("stem"), least).otherwise(F.lit(min(4, least)))))
-    rows = counts.orderBy(F.desc("yes"), "term", "stem").limit(TERMS).collect()
+    rows = counts.collect()  # of the bounded sample
     words = {r["term"]: r["yes"] for r in rows if not r["stem"]}
     stems = {r["term"]: r["yes"] for r in rows if r["stem"]}
     forms = Counter(w[:k] for w in words for k in STEM_SIZES if len(w) > k)
@@ -268,8 +279,7 @@ def lexicon(train: DataFrame) -> list[tuple[str, bool]]:
     kept = [s for s, n in wide.items() if not any(t != s and t.startswith(s) and m >= 0.95 * n for t, m in wide.items())]
     kept = [s for s in kept if not any(s != t and s.startswith(t) for t in kept)]
     plain = [w for w, n in words.items() if n >= least and not w.startswith(tuple(kept) or ("\0",))]
-    ranked = sorted([(s, True) for s in kept] + [(w, False) for w in plain], key=lambda x: (-(stems if x[1] else words)[x[0]], x))
-    return ranked[:ENTRIES]
+    return sorted([(s, True) for s in kept] + [(w, False) for w in plain], key=lambda x: (-(stems if x[1] else words)[x[0]], x))
 
 
 def _near(entries):
