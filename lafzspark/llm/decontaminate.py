@@ -3,9 +3,10 @@
 Method: one Aho-Corasick automaton over the items' windows of normalised words; each text is scanned once, and
 matches are mapped back to code point offsets of the original text.
 
-The benchmark comes to the driver in pieces of at most AUTOMATON_BYTES of text (usually one). One automaton holds one
-piece and goes to the executors with the tasks; a benchmark above that size is scanned piece by piece and the hits of
-each document are merged, so no automaton grows with its table. Documents are never shuffled for one piece.
+The automaton goes to the executors with the tasks, so its size is checked: a benchmark of more than AUTOMATON_BYTES of
+text is dealt by hash into parts of about that size. The driver holds one part at a time, each part's scan is written
+before the next one is built, and the hits of each document are merged. One part is the rule (a benchmark of some
+hundred items has a few dozen KB), and then documents are scanned once and never shuffled.
 
 Defined cases: a null or word-free text or item has no words and no windows; an item of fewer words than a window is
 one window; items with equal windows are all reported; repeated rows of documents each give a row (with a benchmark of
@@ -14,6 +15,8 @@ several pieces, rows of equal doc_id and text give one row each, too); an empty
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from lafzspark.llm import scan, tables
 from lafzspark.llm.scratch import written
 
 WINDOW = 10
-AUTOMATON_BYTES = 4 << 20
+AUTOMATON_BYTES = 2 << 20
 FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
@@ -103,19 +106,14 @@ def _scan(items: list[tuple[str, bytes]], window: int):
     return run
 
 
-def pieces(benchmark: DataFrame, most: int) -> list[list[tuple[str, bytes]]]:
-    """The items, most bytes of text together at most (one item at least); read a partition at a time."""
-    out: list[list[tuple[str, bytes]]] = []
-    total = most + 1
+def pieces(benchmark: DataFrame, most: int) -> Iterator[tuple[int, list[tuple[str, bytes]]]]:
+    """(number of parts, items of the next part): about `most` bytes of text each, collected one after the other."""
     rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
-    for i, t in rows.toLocalIterator():
-        text = t.encode()
-        if total + len(text) > most:
-            out.append([])
-            total = 0
-        out[-1].append(("" if i is None else i, text))
-        total += len(text)
-    return out or [[]]
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    n = max(1, -(-total // most))
+    for k in range(n):
+        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows
+        yield n, [("" if r["i"] is None else r["i"], r["t"].encode()) for r in part.distinct().collect()]
 
 
 def decontaminate(
@@ -124,26 +122,21 @@ def decontaminate(
     """doc_id, n_words, n_hit, spans (code points of the original text), items (sorted ids of items that occur)."""
     own = tables.id_text(docs, id_col, text_col)
     out = tables.schema(own, "n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>")
-    parts = pieces(benchmark, automaton_bytes)
-    if len(parts) == 1:
-        return own.mapInArrow(_scan(parts[0], window), out)
-    # Each piece adds to every document's row; a row number fixed by a written table keeps repeated rows apart.
-    own = written(own.withColumn("row", F.monotonically_increasing_id()))
-    rest = own.select("row", "text")
-    found = None
-    for part in parts:
-        one = rest.withColumnRenamed("row", "doc_id").mapInArrow(_scan(part, window), out_for_rows())
-        one = one.select("doc_id", F.explode("spans").alias("s"), "items").select("doc_id", "s.start", "s.end", "items")
+    rest = found = None
+    for n, part in pieces(benchmark, automaton_bytes):
+        if n == 1:
+            return own.mapInArrow(_scan(part, window), out)
+        if rest is None:  # a row number fixed by a written table keeps repeated rows apart
+            own = written(own.withColumn("row", F.monotonically_increasing_id()))
+            rest = own.select(F.col("row").alias("doc_id"), "text")
+        one = rest.mapInArrow(_scan(part, window), "doc_id long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>")
+        one = written(one.where("n_hit > 0").select("doc_id", "spans", "items"))
         found = one if found is None else found.union(one)
-    found = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = own.join(found.withColumnRenamed("doc_id", "row"), "row", "left").select("doc_id", "text", "raw", "items")
     return joined.mapInArrow(_merge, out)
 
 
-def out_for_rows() -> str:
-    return "doc_id long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>"
-
-
 def _merge(batches):
     """One row a document from the spans of several pieces of the benchmark."""
     for batch in batches:
@@ -199,9 +192,10 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """docs without the rows in which a window of the benchmark occurs; one scan for each piece of the benchmark."""
-    for part in pieces(benchmark, automaton_bytes):
+    """docs without the rows in which a window of the benchmark occurs; one scan for each part of the benchmark."""
+    for n, part in pieces(benchmark, automaton_bytes):
         docs = tables.rows_kept(docs, _clean(part, window))
+        docs = docs if n == 1 else written(docs)
     return docs
 
 
