@@ -24,15 +24,16 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lafzspark.llm import scan, tables
 from lafzspark.llm.scratch import discard, written
 
-HOT_WORDS = 1 << 16
+HOT_WORDS = 1 << 18
 HOT_BYTES = 64
-HELD_WORDS = 1 << 18
+HELD_WORDS = 1 << 19
 LONG = 16
 #: Rows of an Arrow batch.
 TEXTS = 1 << 12
@@ -112,9 +113,9 @@ def _sum(hot):
                     at.append(i)
                     words.append(None)
                     values.append(found)
-                found = part.select(["doc_id", "text_hash", "n_bytes"]).take(pa.array(at, pa.int64()))
-                word = pa.array(words, pa.binary())
-                yield pa.RecordBatch.from_arrays([*found.columns, word, pa.array(values, pa.int64()), word.is_null().cast(pa.int64())], names=["doc_id", *(c.split()[0] for c in PARTS.split(", "))])
+                at, word = pa.array(at, pa.int64()), pa.array(words, pa.binary())
+                size = part.column("n_bytes").take(pc.if_else(word.is_null(), at, None))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("text_hash").take(at), size, word, pa.array(values, pa.int64()), word.is_null().cast(pa.int64())], names=["doc_id", *(c.split()[0] for c in PARTS.split(", "))])
         scan.give_back()
 
     return run
@@ -170,7 +171,7 @@ def token_counts(
     place = F.when(F.col("word").isNull(), F.col("text_hash")).when(F.length("word") > HOT_BYTES, F.pmod("text_hash", F.lit(LONG))).otherwise(0)
     dealt = parts.repartition("word", place)
     counted = dealt.mapInArrow(_multiply(tokenizer_path), tables.schema(own, "text_hash long, n_bytes long, n long, rows long"))
-    total = written(counted.groupBy("doc_id", "text_hash", "n_bytes").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")), batch_rows=TEXTS)
+    total = written(counted.groupBy("doc_id", "text_hash").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.sum("rows").alias("rows")), batch_rows=TEXTS)
     # Exact repeats of a row share a group; each is given back, with its share of the sum.
     each = total.select("doc_id", "n_bytes", (F.col("n") / F.col("rows")).cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return each.select("doc_id", "n_bytes", "n_tokens")
