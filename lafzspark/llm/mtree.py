@@ -11,7 +11,7 @@ so that bounds and scores are products of matrices.
 Plan. (1) Of equal vectors only the k + 1 of the smallest ids can be among k best; the others leave, so a vector that
 a third of all rows share is k + 1 rows. (2) Vectors go to blocks by the nearest of ROUTES routing vectors and, within
 one's rows, by a hash of the id; one task builds a block's pages, and the tree is written. (3) Queries form chunks of
-about QUERIES rows of one route. A bounded sample of vectors gives first floors, the chunk's own block better ones.
+about QUERIES rows of one route or of neighbouring ones. A bounded sample of vectors gives first floors, the chunk's own block better ones.
 (4) A chunk meets those groups of GROUP blocks in which a block's highest possible score reaches its lowest floor: one
 task for each (chunk, group), of bounded size, which returns k rows for a query at most. The sample only orders the
 work and sets floors that it reaches itself, so the result is exact whatever it holds.
@@ -293,15 +293,18 @@ def exact_top_k(
     tree = written(blocked.groupBy("block").applyInArrow(_build(width, page), PAGES))
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = written(asked.mapInArrow(_floors(points, ids, k, routes), "query_id long, q binary, floor double, route int"))
-    parts = asked.groupBy("route").agg(F.ceil(F.count("*") / F.lit(float(queries_at_once))).alias("parts"))
-    parts = parts.join(starts, F.col("route") == F.col("at"), "left").select(F.col("route").alias("at"), "parts", F.coalesce("first", F.lit(0).cast("long")).alias("home"))
+    n_blocks = shares.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_chunks = max(1, -(-asked.count() // queries_at_once))
+    # Neighbouring routes share a chunk where they have few queries.
+    placed = asked.join(F.broadcast(starts), F.col("route") == F.col("at"), "left").withColumn("home", F.coalesce("first", F.lit(0).cast("long")))
+    placed = written(placed.select("query_id", "q", "floor", "home", F.floor(F.col("home") * n_chunks / max(1, n_blocks)).alias("bucket")))
+    parts = placed.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(queries_at_once))).alias("parts"), F.min("home").alias("first_home"))
     part = F.pmod(F.xxhash64("query_id"), F.col("parts"))
-    dealt = asked.join(F.broadcast(parts), F.col("route") == F.col("at")).withColumn("chunk", F.xxhash64("route", part))
+    dealt = placed.drop("home").join(F.broadcast(parts), "bucket").withColumn("chunk", F.xxhash64("bucket", part)).withColumnRenamed("first_home", "home")
     chunks = written(dealt.select("chunk", "home", "query_id", "q", "floor").groupBy("chunk").applyInArrow(_chunk(width), CHUNK))
     homes = tree.join(F.broadcast(chunks.select(F.col("home").alias("h")).distinct()), F.col("block") == F.col("h"), "left_semi")  # ROUTES blocks
     chunks = written(homes.groupBy("block").cogroup(chunks.groupBy("home")).applyInArrow(_raise(width, k), CHUNK))
     # Each block's ball against each chunk's: the stated queries in chunks, against all rows in blocks.
-    n_blocks = shares.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     outlines = chunks.select("chunk", "centre", "radius", "longest", "lowest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks).cast("long"))).alias("b"))
     balls = tree.where("page = 0").select("block", "bound", "bound_radius")
     pairs = written(outlines.join(balls, F.col("b") == F.col("block")).mapInArrow(_reach, "block long, chunk long"))
@@ -312,7 +315,7 @@ def exact_top_k(
     found = left.groupBy("chunk", "grp").cogroup(right.groupBy("chunk", "grp")).applyInArrow(_search_group(width, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = written(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    discard(rows, routed, asked)
+    discard(rows, routed, asked, placed)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
