@@ -1,12 +1,14 @@
 """Column functions for Urdu text: normalising, tokens, stopwords and stems. All are Catalyst expressions; NULL gives NULL.
 
-Python's `\\w`, `\\s` and `\\d` are written as explicit classes, because Java's differ. Canonical composition covers the
-letters of the Arabic block (COMPOSED); other scripts are taken as they are.
+Python's `\\w`, `\\s` and `\\d` are written as explicit classes, because Java's differ. Canonical composition covers letters with
+up to two marks in canonical order; Hangul syllables in parts stay so.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -39,6 +41,33 @@ def shapes() -> tuple[dict[str, str], dict[str, str]]:
     return {c: x for c, x in found.items() if len(x) == 1}, {c: x for c, x in found.items() if len(x) != 1}
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once however often it stands in the result."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
+@cache
+def compositions() -> dict[str, str]:
+    """Pairs of a character and a mark by the character that they compose."""
+    found = {}
+    for code in (*range(0xC0, 0xAC00), *range(0xF900, 0x10000)):
+        parts = unicodedata.decomposition(chr(code))
+        if parts and parts[0] != "<" and " " in parts and unicodedata.normalize("NFC", chr(code)) == chr(code):
+            found["".join(chr(int(x, 16)) for x in parts.split())] = chr(code)
+    return found
+
+
+def compose(t: Column) -> Column:
+    """Letters with up to two marks in canonical order, in composed form; only pairs are looked up."""
+    table = F.from_json(F.lit(json.dumps(compositions())), "map<string,string>")
+
+    def once(x: Column) -> Column:
+        parts = F.regexp_extract_all(x, F.lit(r"(?s)\P{M}\p{M}|."), F.lit(0))
+        return F.array_join(F.transform(parts, lambda c: F.when(F.length(c) > 1, F.coalesce(F.element_at(table, c), c)).otherwise(c)), "")
+
+    return F.when(t.rlike(r"\p{M}"), once(once(t))).otherwise(t)
+
+
 def expand_shapes(t: Column) -> Column:
     single, several = shapes()
     t = F.translate(t, "".join(single), "".join(single.values()))
@@ -61,11 +90,10 @@ def normalize(
     t: Column, unify: bool = True, diacritics: bool = True, digits: bool = False, punctuation: bool = False, zwnj: bool = False, whitespace: bool = True
 ) -> Column:
     """One spelling for what reads alike; the flags say which differences are removed."""
-    for parts, whole in S.COMPOSED:
-        t = F.replace(t, F.lit(parts), F.lit(whole))
+    t = bound(t, compose)
     t = F.regexp_replace(t, f"{S.CONTROL}|{S.ZERO_WIDTH}|{S.TATWEEL}", "")
     if unify:
-        t = F.translate(expand_shapes(t), S.LETTERS_FROM + S.ARABIC_DIGITS, S.LETTERS_TO + S.URDU_DIGITS)
+        t = F.translate(bound(t, expand_shapes), S.LETTERS_FROM + S.ARABIC_DIGITS, S.LETTERS_TO + S.URDU_DIGITS)
         t = resolve_heh(t)
     if diacritics:
         t = F.regexp_replace(t, S.DIACRITICS, "")
@@ -92,11 +120,12 @@ def is_urdu(t: Column, threshold: float = 0.5) -> Column:
 
 def remove_links(t: Column) -> Column:
     """Without URLs, addresses, mentions and tags, and with one space where two words would meet."""
-    gap = "\ue000"
-    t = F.regexp_replace(t, identifier(), gap)
-    t = F.regexp_replace(t, f"[ \\t]*{gap}(?=[^{S.BLANK}\\p{{L}}\\p{{N}}{gap}])", "")
-    t = F.regexp_replace(t, f"(?<=[^{S.BLANK}{gap}]){gap}+(?=[^{S.BLANK}{gap}])", " ")
-    return strip(F.regexp_replace(F.replace(t, F.lit(gap), F.lit("")), "[ \\t]+", " "))
+    own, gap, last = "\ue000", "\ue000\ue002", "\ue002"  # the text's own U+E000 is followed by U+E001 meanwhile
+    t = F.regexp_replace(F.replace(t, F.lit(own), F.lit("\ue000\ue001")), identifier(), gap)
+    t = F.regexp_replace(t, f"[ \\t]*(?:{gap})+(?!{gap})(?=[^{S.BLANK}\\p{{L}}\\p{{N}}])", "")
+    t = F.regexp_replace(t, f"(?<=[^{S.BLANK}{last}])(?:{gap})+(?!{gap})(?=[^{S.BLANK}])", " ")
+    t = F.replace(F.replace(t, F.lit(gap), F.lit("")), F.lit("\ue000\ue001"), F.lit(own))
+    return strip(F.regexp_replace(t, "[ \\t]+", " "))
 
 
 def words(t: Column, keep_punctuation: bool = False) -> Column:
@@ -128,24 +157,27 @@ def character_ngrams(t: Column, n: int = 3, pad: bool = True) -> Column:
     return F.when(t == "", empty).when(count < 1, F.array(token)).when(t.isNotNull(), grams)
 
 
-def is_stopword(w: Column, include_negation: bool = False) -> Column:
-    w = normalize(w)
-    return F.when(w.isin(S.NEGATION), F.lit(include_negation)).otherwise(w.isin(S.STOPWORDS))
+def is_stopword(w: Column, include_negation: bool = False, normalized: bool = False) -> Column:
+    """normalized: w is a token of words(), or was normalised otherwise."""
+    test = lambda x: F.when(x.isin(S.NEGATION), F.lit(include_negation)).otherwise(x.isin(S.STOPWORDS))
+    return test(w) if normalized else bound(normalize(w), test)
+
+
+def remove_stopwords(tokens: Column, include_negation: bool = False, normalized: bool = False) -> Column:
+    return F.filter(tokens, lambda w: ~is_stopword(w, include_negation, normalized))
 
 
-def remove_stopwords(tokens: Column, include_negation: bool = False) -> Column:
-    return F.filter(tokens, lambda w: ~is_stopword(w, include_negation))
+def stem(w: Column, light: bool = False, min_stem: int = 3, normalized: bool = False) -> Column:
+    """w without the first listed suffix that leaves at least min_stem letters; normalized as in is_stopword."""
 
+    def cut(x: Column) -> Column:
+        chosen = F.when(x.isin(S.PROTECTED), 0)
+        for suffix in S.LIGHT_SUFFIXES if light else S.SUFFIXES:
+            chosen = chosen.when(x.endswith(suffix) & (F.length(x) >= len(suffix) + min_stem), len(suffix))
+        return F.left(x, F.length(x) - chosen.otherwise(0))
 
-def stem(w: Column, light: bool = False, min_stem: int = 3) -> Column:
-    """w without the first listed suffix that leaves at least min_stem letters."""
-    w = normalize(w)
-    chosen = F.when(w.isin(S.PROTECTED), w)
-    for suffix in S.LIGHT_SUFFIXES if light else S.SUFFIXES:
-        rest = F.length(w) - len(suffix)
-        chosen = chosen.when(w.endswith(suffix) & (rest >= min_stem), F.left(w, rest))
-    return chosen.otherwise(w)
+    return cut(w) if normalized else bound(normalize(w), cut)
 
 
-def stem_tokens(tokens: Column, light: bool = False, min_stem: int = 3) -> Column:
-    return F.transform(tokens, lambda w: stem(w, light, min_stem))
+def stem_tokens(tokens: Column, light: bool = False, min_stem: int = 3, normalized: bool = False) -> Column:
+    return F.transform(tokens, lambda w: stem(w, light, min_stem, normalized))

@@ -41,8 +41,8 @@ def _distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stem_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 most frequent stems without stopwords."""
-    kept = _distinct_words(spark, sf_dir).where(~T.is_stopword(F.col("word")))
-    stems = kept.select(T.stem(F.col("word")).alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))
+    kept = _distinct_words(spark, sf_dir).where(~T.is_stopword(F.col("word"), normalized=True))
+    stems = kept.select(T.stem(F.col("word"), normalized=True).alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))
     return stems.orderBy(F.desc("n"), "stem").limit(50)
 
 
@@ -83,7 +83,7 @@ SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS sentence FROM
 
 def stopword_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each word that isn't a stopword occurs."""
-    return _distinct_words(spark, sf_dir).where(~T.is_stopword(F.col("word")))
+    return _distinct_words(spark, sf_dir).where(~T.is_stopword(F.col("word"), normalized=True))
 
 
 STOPWORD_REMOVAL = f"WITH w AS ({WORDS_SQL}) SELECT word, count(*) AS n FROM w WHERE NOT ({sql.stop('word')}) GROUP BY word"
@@ -91,7 +91,7 @@ STOPWORD_REMOVAL = f"WITH w AS ({WORDS_SQL}) SELECT word, count(*) AS n FROM w W
 
 def word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.col("word")
-    return _distinct_words(spark, sf_dir).select("word", T.stem(w).alias("full_stem"), T.stem(w, True).alias("light_stem"), T.stem(w, False, 2).alias("short_stem"))
+    return _distinct_words(spark, sf_dir).select("word", T.stem(w, normalized=True).alias("full_stem"), T.stem(w, True, normalized=True).alias("light_stem"), T.stem(w, False, 2, True).alias("short_stem"))
 
 
 WORD_STEMS = f"""

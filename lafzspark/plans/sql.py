@@ -26,9 +26,7 @@ def strip(x: str) -> str:
 
 def normalize(x: str) -> str:
     """Defaults of the column function; texts without presentation forms."""
-    for parts, whole in S.COMPOSED:
-        x = f"replace({x}, {q(parts)}, {q(whole)})"
-    x = every(x, f"{S.CONTROL}|{S.ZERO_WIDTH}|{S.TATWEEL}", "")
+    x = every(f"nfc_normalize({x})", f"{S.CONTROL}|{S.ZERO_WIDTH}|{S.TATWEEL}", "")
     x = heh(f"translate({x}, {q(S.LETTERS_FROM + S.ARABIC_DIGITS)}, {q(S.LETTERS_TO + S.URDU_DIGITS)})")
     x = every(every(x, S.DIACRITICS, ""), f"[{S.BLANK}]*\\n[{S.BLANK}]*", "\n")
     return strip(every(x, S.SPACES, " "))

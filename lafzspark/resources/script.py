@@ -10,7 +10,6 @@ PUNCTUATION_FROM = "،؛؟۔٫٬"
 PUNCTUATION_TO = ",;?..,"
 HEH, ASPIRATED_HEH, ROUND_HEH = "ه", "ھ", "ہ"
 ASPIRABLE = "بپتٹجچدڈکگڑ"
-COMPOSED = [("آ", "آ"), ("أ", "أ"), ("إ", "إ"), ("ؤ", "ؤ"), ("ئ", "ئ"), ("ۂ", "ۂ"), ("ۓ", "ۓ"), ("ۀ", "ۀ")]
 DIACRITICS = "[ً-ْٰٓ-ٕٖ-ٟۖ-ۭ]"
 ZERO_WIDTH = "[​‎‏﻿⁠]"
 TATWEEL = "ـ"
