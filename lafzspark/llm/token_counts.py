@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lafzspark.llm import scan, tables
-from lafzspark.llm.scratch import discard, written
+from lafzspark.llm.scratch import discard, partitions, written
 
 HOT_WORDS = 1 << 18
 HOT_BYTES = 64
 HELD_WORDS = 1 << 19
 LONG = 16
+#: Shuffle partitions for each task of words: a document gets a row back from each task that holds a word of it.
+SHARE = 8
 #: Rows of an Arrow batch.
 TEXTS = 1 << 12
 
@@ -169,7 +171,7 @@ def token_counts(
     keyed = own.select("doc_id", F.xxhash64("text").alias("text_hash"), tables.utf8_size(F.col("text")).alias("n_bytes"), "text")
     parts = keyed.mapInArrow(_sum(hot), tables.schema(own, PARTS))
     place = F.when(F.col("word").isNull(), F.col("text_hash")).when(F.length("word") > HOT_BYTES, F.pmod("text_hash", F.lit(LONG))).otherwise(0)
-    dealt = parts.repartition("word", place)
+    dealt = parts.repartition(max(2, partitions(docs.sparkSession) // SHARE), "word", place)
     counted = dealt.mapInArrow(_multiply(tokenizer_path), tables.schema(own, "text_hash long, n_bytes long, n long, rows long"))
     total = written(counted.groupBy("doc_id", "text_hash").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.sum("rows").alias("rows")), batch_rows=TEXTS)
     # Exact repeats of a row share a group; each is given back, with its share of the sum.
