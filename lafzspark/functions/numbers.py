@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from fractions import Fraction
-from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,8 +32,7 @@ def folded(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", w)
 
 
-@cache
-def values() -> dict[str, tuple[str, Fraction]]:
+def _values() -> dict[str, tuple[str, Fraction]]:
     """Urdu number words by kind and value."""
     out: dict[str, tuple[str, Fraction]] = {}
     for kind, table in (("unit", {w: (n, 1) for n, w in enumerate(N.UNITS)}), ("unit", {w: (n, 1) for w, n in N.OTHER_UNITS.items()}), ("unit", N.FRACTIONS), ("shift", N.MODIFIERS), ("share", N.DENOMINATORS)):
@@ -43,16 +41,14 @@ def values() -> dict[str, tuple[str, Fraction]]:
     return out | {w: ("scale", Fraction(n)) for w, n in N.SCALES.items()}
 
 
-@cache
-def roman_words() -> dict[str, str]:
+def _roman_words() -> dict[str, str]:
     """Roman number words, as they are listed, by their Urdu ones."""
     out = {w: N.UNITS[n] for n, w in enumerate(N.ENGLISH_UNITS)} | {w: N.UNITS[n] for w, n in N.ENGLISH_TENS.items()}
     out |= {w: N.UNITS[n] for n, words in N.ROMAN_UNITS.items() for w in words.split()}
     return out | {w: urdu for urdu, words in N.ROMAN_WORDS.items() for w in words.split()}
 
 
-@cache
-def roman_folds() -> dict[str, str]:
+def _roman_folds() -> dict[str, str]:
     """Folded spellings of numbers; one that two numbers share belongs to none."""
     found: dict[str, set[str]] = {}
     for n, words in N.ROMAN_UNITS.items():
@@ -61,9 +57,13 @@ def roman_folds() -> dict[str, str]:
     return {k: v.pop() for k, v in found.items() if len(v) == 1}
 
 
+# Made once, as plain tables, so that they travel with the functions that use them.
+VALUES, ROMAN, FOLDS = _values(), _roman_words(), _roman_folds()
+
+
 def from_roman(word: str) -> str | None:
     lowered = word.lower()
-    return roman_words().get(lowered) or roman_folds().get(folded(lowered))
+    return ROMAN.get(lowered) or FOLDS.get(folded(lowered))
 
 
 def numeral(token: str) -> Fraction | None:
@@ -76,7 +76,7 @@ def numeral(token: str) -> Fraction | None:
 
 
 def meaning(token: str) -> tuple[str, Fraction] | None:
-    found = values().get(token)
+    found = VALUES.get(token)
     if found is None and (value := numeral(token)) is not None:
         found = ("unit", value)
     return found
@@ -183,15 +183,17 @@ def cardinal(token: str) -> str | None:
     return None
 
 
-@cache
-def roman_ordinals() -> dict[str, str]:
+def _roman_ordinals() -> dict[str, str]:
     return {w: str(N.ORDINALS[urdu]) for urdu, words in N.ROMAN_ORDINALS.items() for w in words.split()}
 
 
+ROMAN_ORDINALS = _roman_ordinals()
+
+
 def _last_roman(word: str) -> str | None:
     word = word.lower()
-    if word in roman_ordinals():
-        return roman_ordinals()[word]
+    if word in ROMAN_ORDINALS:
+        return ROMAN_ORDINALS[word]
     if m := ENGLISH_ORDINAL.fullmatch(word):
         return m[1]
     m = ROMAN_ORDINAL.fullmatch(word)
@@ -227,7 +229,7 @@ class _Reader:
     def __init__(self, text: str):
         self.text, self.found = text, list(TOKEN.finditer(text))
         self.latin = [m[0].isascii() and m[0].isalpha() for m in self.found]
-        self.token = [roman_words().get(m[0].lower()) or roman_folds().get(folded(m[0])) or m[0] if latin else normal(m[0], digits=True) for m, latin in zip(self.found, self.latin, strict=True)]
+        self.token = [ROMAN.get(m[0].lower()) or FOLDS.get(folded(m[0])) or m[0] if latin else normal(m[0], digits=True) for m, latin in zip(self.found, self.latin, strict=True)]
         for k in range(1, len(self.found)):
             scale = DIGIT_SCALES.get(self.found[k][0].lower())
             if scale and numeral(self.token[k - 1]) is not None and self.joined(k - 1):
@@ -327,6 +329,6 @@ SPANS = "array<struct<text:string,value:double,start:int,end:int,ordinal:boolean
 
 def find_numbers(text: Column) -> Column:
     """Number phrases with values and offsets (code points of the text as it is, end exclusive)."""
-    words = [*values(), *N.ORDINALS]
-    hint = text.rlike(r"\p{Nd}|\p{M}|[يىكةأإه]|[ﭐ-﻿]|(?i:" + "|".join(sorted({w.lower() for w in N.SURE_ROMAN} | set(roman_words()))) + ")|" + "|".join(words))
+    words = [*VALUES, *N.ORDINALS]
+    hint = text.rlike(r"\p{Nd}|\p{M}|[يىكةأإه]|[ﭐ-﻿]|(?i:" + "|".join(sorted({w.lower() for w in N.SURE_ROMAN} | set(ROMAN))) + ")|" + "|".join(words))
     return F.when(text.isNotNull(), F.coalesce(arrow_column(spans, SPANS)(F.when(hint, text)), F.array().cast(SPANS)))

@@ -147,14 +147,17 @@ def fix_spacing(t: Column) -> Column:
     return F.when(t.rlike("|".join(S.MERGED)), fixed).otherwise(t)
 
 
+def windows(t: Column, n: int) -> Column:
+    """All windows of n characters, in one pass (a substring for each would read the text anew from its start)."""
+    return F.regexp_extract_all(t, F.lit(f"(?s)(?![\\x{{DC00}}-\\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1))
+
+
 def character_ngrams(t: Column, n: int = 3, pad: bool = True) -> Column:
     if n < 1:
         raise ValueError("n must be 1 or more")
     token = F.concat(F.lit("<"), t, F.lit(">")) if pad else t
-    count = F.length(token) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(token, i, F.lit(n)))
     empty = F.array().cast("array<string>")
-    return F.when(t == "", empty).when(count < 1, F.array(token)).when(t.isNotNull(), grams)
+    return F.when(t == "", empty).when(F.length(token) < n, F.array(token)).when(t.isNotNull(), windows(token, n))
 
 
 def is_stopword(w: Column, include_negation: bool = False, normalized: bool = False) -> Column:
