@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lafzspark.llm import labelled, scan, tables
+from lafzspark.llm.scratch import written
 
 MODULUS, HELD = 4, 2
 THRESHOLD = 0.3
@@ -367,7 +368,7 @@ Model = namedtuple("Model", "entries exact ordinary weights share")
 
 def train_model(docs: DataFrame, labels: DataFrame, sample: int = labelled.SAMPLE) -> Model:
     """The lexicon, the words that are no misspellings, and the weights. docs has doc_id and text."""
-    train = labelled.training_rows(docs, labels, "toxic", MODULUS, HELD, sample)
+    train = written(labelled.training_rows(docs, labels, "toxic", MODULUS, HELD, sample))  # read four times
     entries = lexicon(train)
     exact, ordinary = misspelled(train, entries) if entries else ([], {})
     rows = train.mapInArrow(_features(entries, exact, ordinary), "a double, b double, c double, d double, y double").collect()

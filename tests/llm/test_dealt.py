@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -74,6 +75,17 @@ def test_dedup(spark, docs, window):
 # 2 and 10
 
 
+def damerau(a, b):  # with swaps of neighbours, each letter edited once
+    d = np.zeros((len(a) + 1, len(b) + 1), int)
+    d[:, 0], d[0, :] = range(len(a) + 1), range(len(b) + 1)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[-1, -1]
+
+
 def planted(spark):
     clean = [(i, f"the cat sat on mat number {i} and looked at the sea " * 3) for i in range(400)]
     bad = [(1000 + i, f"the cat {w} sat on mat {i} you {w} and the sea " * 2) for i in range(150) for w in ("blockhead", "nitwitted", "gloop")]
@@ -111,16 +123,6 @@ def test_toxicity_catches_misspelled_terms_in_real_texts(spark):
 
 
 def test_levenshtein_automata_agree_with_distance():
-    def distance(a, b):  # with swaps of neighbours, each letter edited once
-        d = np.zeros((len(a) + 1, len(b) + 1), int)
-        d[:, 0], d[0, :] = range(len(a) + 1), range(len(b) + 1)
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
-                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
-        return d[-1, -1]
-
     entries = ["abcde", "abdce", "aab", "abcabcabca"]
     automaton = toxicity.Automaton([(e, False) for e in entries])
     rng = np.random.default_rng(0)
@@ -129,7 +131,7 @@ def test_levenshtein_automata_agree_with_distance():
         words |= {e[:i] + c + e[i + k :] for i in range(len(e)) for k in (0, 1, 2) for c in ("", "z", "ab")}
     allowed = {e: 0 if len(e) < 5 else 1 if len(e) < 9 else 2 for e in entries}
     for w in sorted(words):
-        want = min((distance(w, e) for e in entries if distance(w, e) <= allowed[e]), default=None)
+        want = min((damerau(w, e) for e in entries if damerau(w, e) <= allowed[e]), default=None)
         assert automaton.edits(w) == want, w
     stem = toxicity.Automaton([("abcde", True)])
     assert [stem.edits(w) for w in ("abcdexyz", "abcxexyz", "abxxexyz", "abcd")] == [0, 1, None, 1]
@@ -157,6 +159,61 @@ def test_models_with_odd_rows(spark):
         assert f(documents(spark).limit(0), labels).count() == 0
 
 
+def test_quality_scores_are_sums_over_tables(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train_model(docs.select("doc_id", "text"), labels)
+    assert any(np.abs(t).max() > 0 for t in model["tables"])
+    place = lambda edges, v: sum(v >= e for e in edges)
+
+    def brute(text):
+        x = quality.features((text or "").encode())
+        z = model["base"] + sum(t[place(e, v)] for e, t, v in zip(model["edges"], model["tables"], x, strict=True))
+        z += sum(t[place(model["coarse"][i], x[i]), place(model["coarse"][j], x[j])] for i, j, t in model["pairs"])
+        return 1 / (1 + np.exp(-z))
+
+    want = {i: brute(t) for i, t in texts(docs)}
+    for r in quality.quality(docs, labels).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-9)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_toxicity_scores_are_those_of_counted_hits(spark):
+    docs, labels = planted(spark)
+    model = toxicity.train_model(docs, labels)
+    assert model.entries
+    allowed = {}
+    for text, stem in model.entries:
+        n = 0 if len(text) < toxicity.ONE_EDIT else 1 if len(text) < toxicity.TWO_EDITS else 2
+        allowed[text, stem] = 0 if (text, stem) in model.exact else min(n, 1) if stem else n
+
+    def edits(word):
+        found = [min(damerau(word[:k], t) for k in range(len(word) + 1)) if stem else damerau(word, t) for t, stem in model.entries]
+        near = [d for d, e in zip(found, model.entries, strict=True) if d <= allowed[e]]
+        return None if not near or (min(near) and word in model.ordinary) else min(near)
+
+    some = ["what a blokchead he is you nitwited", "she said \"you gloop\" and left", "he \" is\na gloop and a blockhead", "", "the cat sat", "You BLOCKHEAD! blockhaed"]
+    some += [r["text"] for r in docs.where("doc_id % 97 = 0").collect()]
+    for text in some:
+        words, plain, close, quoted = re.findall(r"[^\W_]+", text.lower()), 0, 0, 0
+        for m in re.finditer(r"[^\W_]+", text.lower()):
+            e = edits(m[0])
+            if e is None:
+                continue
+            line = text[text.rfind("\n", 0, m.start()) + 1 :].split("\n")[0]
+            at = m.start() - (text.rfind("\n", 0, m.start()) + 1)
+            inside = line[:at].count('"') % 2 == 1 and '"' in line[at:]
+            before = re.findall(r"[^\W_]+", text.lower()[: m.start()])[-toxicity.CONTEXT :]
+            if inside or set(before) & toxicity.REPORTING:
+                quoted += 1
+            elif e:
+                close += 1
+            else:
+                plain += 1
+        hits = plain + model.share * close
+        z = np.dot(model.weights, [np.log1p(hits), np.log1p(quoted), 100 * hits / max(len(words), 1), 1.0])
+        assert toxicity.scores(model)([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9), text
+
+
 def test_quality_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((4000, 3))

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from lafzspark.llm import private_data, toxicity
-from tests.llm.test_dealt import brute_components, brute_contamination, texts
+from tests.llm.test_dealt import ODD, brute_components, brute_contamination, documents, texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,6 +43,21 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_stages_with_odd_rows_extra_columns_and_empty_tables(spark):
+    """Nulls, repeated rows, very long texts and columns whose names clash with those that the operators use."""
+    odd = documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        for frame, most in ((odd, len(ODD)), (odd.limit(0), 0)):
+            made = stage(spark, frame, SF)
+            found = made.collect()
+            assert len(found) <= most, name
+            if name != "mixing":
+                assert made.columns == odd.columns
+                assert {r["doc_id"] for r in found} == ({r[0] for r in ODD} if most else set()) or name == "ngram_jaccard_join"
+            elif most:
+                assert len(found) == most
+
+
 def test_no_operator_swallows_import_errors():
     from pathlib import Path
 
