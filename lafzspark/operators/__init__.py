@@ -1,0 +1,7 @@
+"""Operators on tables. Those that run Python in Arrow batches travel by value, so executors need no copy of the repository."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
