@@ -69,11 +69,13 @@ def compose(t: Column) -> Column:
 
 
 def expand_shapes(t: Column) -> Column:
+    """Letters for their presentation forms. A test by ranges comes first: a class of several hundred single characters is slow."""
     single, several = shapes()
-    t = F.translate(t, "".join(single), "".join(single.values()))
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    chars = F.transform(F.split(t, ""), lambda c: F.coalesce(F.element_at(table, c), c))
-    return F.when(t.rlike("[" + "".join(several) + "]"), F.array_join(chars, "")).otherwise(t)
+    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    one = F.translate(t, "".join(single), "".join(single.values()))
+    chars = F.transform(F.split(one, ""), lambda c: F.when(c >= chr(S.SHAPES[0][0]), F.coalesce(F.element_at(table, c), c)).otherwise(c))
+    ranges = "".join(f"{chr(low)}-{chr(high)}" for low, high in S.SHAPES)
+    return F.when(t.rlike(f"[{ranges}]"), F.array_join(chars, "")).otherwise(t)
 
 
 def resolve_heh(t: Column) -> Column:

@@ -24,14 +24,12 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select("o_orderkey")
 
 
-KEY = F.col("o_orderkey")
-
-
 def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers spelled in words, with South Asian groups and Urdu digits, and in Roman letters, read back."""
-    spelled, grouped = figures.number_to_words(KEY * 1_000_003), figures.format_number(KEY * 1_000_003, True)
-    roman = F.concat((KEY % 90 + 1).cast("string"), F.lit(" lakh "), (KEY % 900 + 1).cast("string"), F.lit(" hazar dedh"))
-    mixed = F.concat(F.lit("sawa "), (KEY % 90 + 1).cast("string"), F.lit(" crore"))
+    key = F.col("o_orderkey")
+    spelled, grouped = figures.number_to_words(key * 1_000_003), figures.format_number(key * 1_000_003, True)
+    roman = F.concat((key % 90 + 1).cast("string"), F.lit(" lakh "), (key % 900 + 1).cast("string"), F.lit(" hazar dedh"))
+    mixed = F.concat(F.lit("sawa "), (key % 90 + 1).cast("string"), F.lit(" crore"))
     return _orders(spark, sf_dir).select("o_orderkey", numbers.parse_whole_number(spelled).cast("long").alias("words"), numbers.parse_number(grouped).alias("digits"), numbers.parse_number(roman).alias("roman"), numbers.parse_number(mixed).alias("mixed"))
 
 
@@ -41,8 +39,9 @@ SELECT o_orderkey, o_orderkey * 1000003 AS words, (o_orderkey * 1000003)::DOUBLE
 
 
 def parsed_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.concat(figures.number_to_words(KEY), F.lit(N.ORDINAL_ENDINGS[0]))
-    return _orders(spark, sf_dir).select("o_orderkey", numbers.parse_ordinal(words).alias("words"), numbers.parse_ordinal(F.concat(KEY.cast("string"), F.lit("th"))).alias("roman"), numbers.parse_ordinal(figures.number_to_words(KEY)).alias("cardinal"))
+    key = F.col("o_orderkey")
+    words = F.concat(figures.number_to_words(key), F.lit(N.ORDINAL_ENDINGS[0]))
+    return _orders(spark, sf_dir).select("o_orderkey", numbers.parse_ordinal(words).alias("words"), numbers.parse_ordinal(F.concat(key.cast("string"), F.lit("th"))).alias("roman"), numbers.parse_ordinal(figures.number_to_words(key)).alias("cardinal"))
 
 
 PARSED_ORDINALS = "SELECT o_orderkey, o_orderkey AS words, o_orderkey AS roman, NULL::BIGINT AS cardinal FROM orders"
@@ -50,7 +49,8 @@ PARSED_ORDINALS = "SELECT o_orderkey, o_orderkey AS words, o_orderkey AS roman,
 
 def found_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where an amount in words, one with a scale letter and an ordinal stand in a text."""
-    text = F.concat(F.lit("کل "), figures.number_to_words(KEY + 100), F.lit("، phir "), (KEY % 90 + 1).cast("string"), F.lit("k aur "), (KEY % 50 + 1).cast("string"), F.lit("ویں do"))
+    key = F.col("o_orderkey")
+    text = F.concat(F.lit("کل "), figures.number_to_words(key + 100), F.lit("، phir "), (key % 90 + 1).cast("string"), F.lit("k aur "), (key % 50 + 1).cast("string"), F.lit("ویں do"))
     found = _orders(spark, sf_dir).select("o_orderkey", F.explode(numbers.find_numbers(text)).alias("s"))
     return found.select("o_orderkey", "s.text", "s.value", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.ordinal")
 
