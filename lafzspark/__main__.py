@@ -69,7 +69,7 @@ def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> None:
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
+    args = parser().parse_intermixed_args(argv)
     spark = SparkSession.builder.appName("lafzspark").config("spark.ui.enabled", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     try:

@@ -36,6 +36,7 @@ def decoded_lines(content: bytes, name: str, encoding: str | None = None) -> lis
     chosen = encoding or sniffed(content[:64])
     chosen = "utf-8-sig" if chosen.lower().replace("_", "-") in ("utf-8", "utf8") else chosen
     try:
+        codecs.lookup(chosen)
         text = content.decode(chosen)
     except LookupError:
         raise InputError(f"unknown encoding {encoding!r}") from None

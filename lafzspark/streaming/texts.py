@@ -25,5 +25,6 @@ def word_counts(stream: DataFrame, text_col: str = "text") -> DataFrame:
 
 def event_counts(stream: DataFrame, time_col: str, by: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """start, end, by, n of event-time windows; the watermark closes a window, and drops its state, when `late` has passed."""
-    counted = stream.withWatermark(time_col, late).groupBy(F.window(time_col, window).alias("w"), by).agg(F.count("*").alias("n"))
+    timed = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))  # watermarks want a time zone
+    counted = timed.withWatermark(time_col, late).groupBy(F.window(time_col, window).alias("w"), by).agg(F.count("*").alias("n"))
     return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
