@@ -23,7 +23,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; texts in fewer parts than the session has cores (a small file of one row group) are dealt to all of them."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name == "documents" and rows.rdd.getNumPartitions() < cores:
+    if name in ("documents", "conversations", "orders") and rows.rdd.getNumPartitions() < cores:
         return rows.repartition(cores)
     return rows
 
