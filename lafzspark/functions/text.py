@@ -14,6 +14,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lafzspark.functions.guards import require_number
 from lafzspark.resources import script as S
 
 WORD_CHARS = r"\p{L}\p{N}_"
@@ -113,8 +114,7 @@ def normalize(
 
 def is_urdu(t: Column, threshold: float = 0.5) -> Column:
     """Whether at least this share of the letters is in the blocks that hold Urdu; without letters false."""
-    if isinstance(threshold, bool) or not 0 <= threshold <= 1:
-        raise ValueError("threshold is a number from 0 to 1")
+    threshold = require_number(threshold, "threshold", 0, 1)
     letters = F.length(F.regexp_replace(t, r"\P{L}", ""))
     own = F.length(F.regexp_replace(t, rf"[^\p{{L}}&&[{S.URDU_BLOCKS}]]|[^{S.URDU_BLOCKS}]|\P{{L}}", ""))
     return F.when(t.isNotNull(), F.coalesce(own / F.nullif(letters, F.lit(0)) >= threshold, F.lit(False)))
@@ -186,3 +186,8 @@ def stem(w: Column, light: bool = False, min_stem: int = 3, normalized: bool = F
 
 def stem_tokens(tokens: Column, light: bool = False, min_stem: int = 3, normalized: bool = False) -> Column:
     return F.transform(tokens, lambda w: stem(w, light, min_stem, normalized))
+
+
+def is_non_joining(c: Column) -> Column:
+    """Whether a letter never joins the one behind it."""
+    return c.isin(*S.NON_JOINING)

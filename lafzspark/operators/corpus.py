@@ -6,6 +6,8 @@ hashes of the rows or from ranks over ranges of the order, so runs agree and no
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,3 +210,31 @@ def label_map(pairs: DataFrame, labels: list[str]) -> DataFrame:
     counts = pairs.groupBy("said", "truth").agg(F.count("*").alias("n"))
     best = counts.groupBy("said").agg(F.min(F.struct((-F.col("n")).alias("m"), "truth"))["truth"].alias("common"))
     return best.select("said", F.when(F.col("said").isin(labels), F.col("said")).otherwise(F.col("common")).alias("label"))
+
+
+def chained_lines(pairs: DataFrame, lines: int, seed: int, longest: int = 12) -> DataFrame:
+    """id, line: chains of words, each drawn by the counts of what follows the one before it (prev, word, n), from <s> on; a
+    chain ends where nothing follows. One step for all lines is a join of the lines with the followers' cumulated counts."""
+    order = Window.partitionBy("prev").orderBy("h", "word")
+    laid = pairs.withColumn("h", F.md5("word")).withColumn("high", F.sum("n").over(order))  # a word's followers
+    laid = laid.select(F.col("prev").alias("p"), "word", (F.col("high") - F.col("n")).alias("low"), "high", F.sum("n").over(Window.partitionBy("prev")).alias("total")).persist()
+    try:
+        now = pairs.sparkSession.range(lines).select("id", F.lit(START).alias("last"), F.array().cast("array<string>").alias("words"))
+        for step in range(longest):
+            met = now.join(laid, F.col("last") == F.col("p"), "left").withColumn("at", F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "id"), F.coalesce("total", F.lit(1))))
+            kept = met.where("p IS NULL OR (at >= low AND at < high)")
+            now = kept.select("id", F.coalesce("word", F.lit("")).alias("last"), F.when(F.col("word").isNull(), F.col("words")).otherwise(F.concat("words", F.array("word"))).alias("words"))
+        rows = now.select("id", F.array_join("words", " ").alias("line")).where("line <> ''").collect()
+    finally:
+        laid.unpersist()
+    return pairs.sparkSession.createDataFrame(rows, "id long, line string")
+
+
+def inputs_digest(settings: dict, tables: dict[str, DataFrame]) -> str:
+    """A digest of what a model is made of: settings by name, and the fingerprint of each table's rows in any order."""
+    parts = [f"{k}={settings[k]!r}" for k in sorted(settings)]
+    for name in sorted(tables):
+        row = F.to_json(F.struct(*sorted(tables[name].columns)))
+        found = fingerprint(tables[name].select(F.lit(name).alias("name"), row.alias("line")), "name", F.col("line")).first()
+        parts.append(f"{name}:{found['digest'] if found else ''}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:32]

@@ -259,3 +259,31 @@ def smallest_not_worse(outcomes: DataFrame, sizes: dict[str, int]) -> str:
         if model == best or worse(against.get(model, {})) is None:
             return model
     return best
+
+
+def calibration_arms(rows: DataFrame, by: str, temperature: float, bins: int = 15) -> DataFrame:
+    """by, n, accuracy, confidence, ece of each group at one temperature. rows: scores (array), truth (its index), by."""
+    best = F.array_max(log_softmax(F.col("scores"), temperature))
+    right = F.array_position("scores", F.array_max("scores")) - 1 == F.col("truth")
+    own = rows.select(by, F.exp(best).alias("c"), right.alias("ok")).where("c IS NOT NULL AND ok IS NOT NULL")
+    binned = own.withColumn("bin", F.least(F.greatest(F.ceil(F.col("c") * bins), F.lit(1)), F.lit(bins)))
+    cells = binned.groupBy(by, "bin").agg(F.count("*").alias("n"), F.count_if("ok").alias("hits"), F.sum("c").alias("c"))
+    sums = cells.groupBy(by).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("c").alias("c"), F.sum(F.abs(F.col("hits") - F.col("c"))).alias("gaps"))
+    return sums.select(by, "n", F.round(F.col("hits") / F.col("n"), 4).alias("accuracy"), F.round(F.col("c") / F.col("n"), 4).alias("confidence"), F.round(F.col("gaps") / F.col("n"), 4).alias("ece"))
+
+
+def balanced(arms: DataFrame) -> DataFrame:
+    """One row: the groups' accuracy, confidence and ece, each group the same weight."""
+    return arms.agg(*[F.round(F.avg(c), 4).alias(c) for c in ("accuracy", "confidence", "ece")])
+
+
+def left_out(rows: DataFrame, by: str) -> dict:
+    """For each group (labels, so few) the temperature that the others give, and its own error there."""
+    out = {}
+    for r in rows.select(by).distinct().collect():
+        own, rest = (rows.where(F.col(by).eqNullSafe(F.lit(r[by]))), rows.where(~F.col(by).eqNullSafe(F.lit(r[by]))))
+        if rest.isEmpty():
+            continue
+        temperature = fit_temperature(rest)[0]
+        out[r[by]] = (temperature, calibration_arms(own, by, temperature).first()["ece"])
+    return out

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lafzspark.functions import text as T
+from lafzspark.functions.guards import require_text
 from lafzspark.resources import script as S
 
 N_MAX, ALPHA, TOP = 6, 0.03, 180_000
@@ -83,6 +84,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     Texts without Perso-Arabic letters have no language, margin 0 and an empty ranking.
     """
+    require_text(docs, text_col, "identify")
     rows = docs.select(F.col(id_col).alias("id"), language_runs(F.col(text_col)).alias("t"))
     usable = rows.where(F.col("t").rlike("[^ ]"))
     weights = F.broadcast(model.weights) if model.weights.count() <= BROADCAST_ROWS else model.weights
