@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -418,6 +419,25 @@ def test_jaccard_components(spark, docs):
     assert rows(found, "doc_id", "n_shingles", "component_id") == brute_components(texts(copies(spark)))
 
 
+def test_pairs_just_above_the_threshold_share_a_key():
+    """The routing's recall over pairs of 0.80 to 0.85, against their whole sets."""
+    rng = np.random.default_rng(11)
+    pairs = []
+    while len(pairs) < 1500:
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, int(rng.integers(20, 260)))]
+        other = list(words)
+        for at in rng.integers(0, len(words), max(1, len(words) // 50)):
+            other[at] = f"v{rng.integers(1 << 40)}"
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, other)]
+        if 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) <= 0.85:
+            pairs.append((" ".join(words), " ".join(other)))
+    column = pa.array([t for pair in pairs for t in pair])
+    n = len(column)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), column], names=["doc_id", "text_hash", "text"])
+    keys = next(shingle_join._sketch(5)(iter([batch]))).column("keys").to_pylist()
+    assert all(set(keys[i]) & set(keys[i + 1]) for i in range(0, n, 2))
+
+
 def test_rows_without_ids_link_and_leave(spark):
     bridge = [(1, "a b c d e f g h i j k l m n o", None), (None, "a b c d e f g h i j k l m n o p", None), (2, "a b c d e f g h i j k l m n o p q r", None)]
     lone = [(None, "one two three four five six seven eight nine ten", None)] * 3 + [(None, "one two three four five six seven eight nine ten eleven", None)]
