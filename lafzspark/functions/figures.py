@@ -10,18 +10,23 @@ from lafzspark.resources import script as S
 
 
 def format_number(x: Column, urdu_digits: bool = False) -> Column:
-    """Three digits, then groups of two. Up to 23 digits before and 15 behind the point; beyond that, NaN and infinity: NULL."""
-    exact = x.cast("string").try_cast("decimal(38,15)").cast("string")
-    whole = F.regexp_replace(F.regexp_replace(exact, r"^-", ""), r"\..*\z", "")
-    rest = F.regexp_replace(F.regexp_extract(exact, r"\.(\d*)\z", 1), r"0+\z", "")
+    """Three digits, then groups of two, in positional form whatever the exponent; NaN and infinity give NULL."""
+    text = x.cast("string")
+    part = lambda k: F.regexp_extract(text, r"^-?(\d+)\.?(\d*)(?:E([+-]?\d+))?\z", k)
+    digits = F.concat(part(1), part(2))
+    point = F.length(part(1)) + F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))
+    whole = F.when(point > 0, F.rpad(F.left(digits, point), F.greatest(point, F.lit(0)), "0")).otherwise("")
+    whole = F.coalesce(F.nullif(F.regexp_replace(whole, "^0+", ""), F.lit("")), F.lit("0"))
+    rest = F.when(point < 0, F.concat(F.repeat(F.lit("0"), -point), digits)).otherwise(F.substring(digits, point + 1, F.length(digits)))
+    rest = F.regexp_replace(rest, r"0+\z", "")
     head = F.left(whole, F.greatest(F.length(whole) - 3, F.lit(0)))
     head = F.regexp_replace(head, r"(?<=\d)(?=(?:\d\d)+\z)", ",")
     shown = F.concat_ws(",", F.nullif(head, F.lit("")), F.right(whole, F.lit(3)))
     shown = F.concat(shown, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
-    shown = F.when(exact.startswith("-") & exact.rlike("[1-9]"), F.concat(F.lit("-"), shown)).otherwise(shown)
+    shown = F.when(text.startswith("-") & digits.rlike("[1-9]"), F.concat(F.lit("-"), shown)).otherwise(shown)
     if urdu_digits:
         shown = F.translate(shown, S.ASCII_DIGITS + ",.", S.URDU_DIGITS + "٬٫")
-    return F.when(exact.isNotNull(), shown)
+    return F.when(digits != "", shown)
 
 
 def _below_thousand(x: Column, units: Column) -> Column:

@@ -163,33 +163,6 @@ w AS (SELECT unnest({sql.words(sql.normalize(URDU_SQL))}) AS word FROM k)
 SELECT word, count(*) AS n FROM w WHERE regexp_full_match(word, {sql.q(f"[{S.URDU_BLOCKS}]+")}) AND NOT regexp_matches(word, '\\P{{L}}') GROUP BY word"""
 
 
-def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of neighbouring words seen three times or more; a document begins with <s>. No shuffle before the count."""
-    tokens = _read(spark, sf_dir, "documents").select(F.concat(F.array(F.lit("<s>")), T.words(_urdu())).alias("t"))
-    pairs = tokens.select(F.explode(F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - 1).alias("a"), F.slice("t", F.lit(2), F.size("t") - 1).alias("b"))).alias("p"))
-    return pairs.groupBy(F.col("p.a").alias("prev"), F.col("p.b").alias("word")).agg(F.count("*").alias("n")).where("n >= 3")
-
-
-BIGRAMS = f"""
-WITH t AS (SELECT ['<s>'] || {sql.words(sql.normalize(URDU_SQL))} AS t FROM documents WHERE text IS NOT NULL),
-p AS (SELECT unnest(t[:-2]) AS prev, unnest(t[2:]) AS word FROM t)
-SELECT prev, word, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) >= 3"""
-
-
-def duplicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of 24 characters or more that occur under several languages: digest, languages, rows."""
-    lines = _read(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
-    plain = F.trim(F.regexp_replace("line", r"[ \t\r]+", " "))
-    keyed = lines.select("lang", F.when(F.length(plain) >= 24, F.md5(plain)).alias("key")).where("key IS NOT NULL")
-    counts = keyed.groupBy("key", "lang").agg(F.count("*").alias("n"))
-    return counts.groupBy("key").agg(F.count("lang").alias("languages"), F.sum("n").alias("n")).where("languages > 1")
-
-
-DUPLICATE_AUDIT = """
-WITH l AS (SELECT lang, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \\t\\r]+', ' ', 'g')) AS line FROM documents)
-SELECT md5(line) AS key, count(DISTINCT lang) AS languages, count(*) AS n FROM l WHERE length(line) >= 24 GROUP BY 1 HAVING count(DISTINCT lang) > 1"""
-
-
 def source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and characters by language, by language and source, and over all."""
     docs = _read(spark, sf_dir, "documents").withColumn("chars", F.length("text"))
@@ -336,8 +309,6 @@ QUERIES = {
     "urdu_share": urdu_share,
     "letter_census": letter_census,
     "vocabulary": vocabulary,
-    "bigrams": bigrams,
-    "duplicate_audit": duplicate_audit,
     "source_scores": source_scores,
     "class_scores": class_scores,
     "centred_windows": centred_windows,
@@ -361,8 +332,6 @@ ORACLE_SQL = {
     "urdu_share": URDU_SHARE,
     "letter_census": LETTER_CENSUS,
     "vocabulary": VOCABULARY,
-    "bigrams": BIGRAMS,
-    "duplicate_audit": DUPLICATE_AUDIT,
     "source_scores": SOURCE_SCORES,
     "class_scores": CLASS_SCORES,
     "centred_windows": "SELECT doc_id, CASE WHEN length(text) > 50 THEN substring(text, (length(text) - 50) // 2 + 1, 50) END AS w FROM documents",

@@ -129,7 +129,11 @@ SELECT doc_id, md5(CASE WHEN text = '' THEN '' ELSE array_to_string(list_transfo
 
 
 def _urdu_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select(F.explode(T.words(_urdu(), True)).alias("word")).distinct()
+    """Distinct words between blanks."""
+    return _read(spark, sf_dir, "documents").select(F.explode(F.split(_urdu(), r"[ \t\r\n]+")).alias("word")).where("word <> ''").distinct()
+
+
+_BLANK_WORDS = f"w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex({URDU_SQL}, '[ \\t\\r\\n]+')) AS word FROM documents) WHERE word <> '')"
 
 
 def roman_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +145,8 @@ def roman_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MAP = "MAP {" + ", ".join(f"{q(a)}: {q(b)}" for a, b in (R.LETTERS | R.MARKS).items()) + "}"
 _IN_LETTERS = "(" + ", ".join(q(c) for c in R.LETTERS if c not in letters.JOINED) + ")"
 ROMAN_BY_RULES = f"""
-WITH w AS (SELECT DISTINCT unnest({sql.words(sql.normalize(URDU_SQL), True)}) AS word FROM documents),
-c AS (SELECT word, string_split(translate(word, '۰۱۲۳۴۵۶۷۸۹', '0123456789'), '') AS c FROM w),
+WITH {_BLANK_WORDS},
+c AS (SELECT word, string_split(translate({sql.normalize("word")}, '۰۱۲۳۴۵۶۷۸۹', '0123456789'), '') AS c FROM w),
 p AS (SELECT word, c, list_transform(c, lambda x: coalesce({_MAP}[x], CASE WHEN x <= chr(127) THEN x WHEN regexp_full_match(x, '[{S.BLANK}]') THEN ' ' WHEN x = chr(8204) OR (regexp_full_match(x, '\\p{{M}}') AND regexp_full_match(x, '[{S.URDU_BLOCKS}]')) THEN '' ELSE x END)) AS p FROM c)
 SELECT word, array_to_string(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i > 1 AND c[i] IN {_IN_LETTERS} AND regexp_matches(right(p[i - 1], 1), '\\p{{L}}') AND right(p[i - 1], 1) NOT IN ('a', 'e', 'i', 'o', 'u')
   AND p[i] <> '' AND left(p[i], 1) NOT IN ('a', 'e', 'i', 'o', 'u') THEN 'a' || p[i] ELSE p[i] END), '') AS roman, array_to_string(p, '') AS bare FROM p"""
@@ -204,7 +208,7 @@ def _keys_sql() -> str:
     return x
 
 
-CONSONANT_KEYS = f"WITH w AS (SELECT DISTINCT unnest({sql.words(sql.normalize(URDU_SQL), True)}) AS word FROM documents) SELECT word, {_keys_sql()} AS key FROM w"
+CONSONANT_KEYS = f"WITH {_BLANK_WORDS} SELECT word, {_keys_sql()} AS key FROM w"
 
 QUERIES = {f.__name__: f for f in (
     parsed_numbers, parsed_ordinals, found_numbers, spaced_text, links_removed, presentation_forms, composed_texts, kept_tokens, stretched_grams, roman_by_rules, roman_words, transliterated_words,

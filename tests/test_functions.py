@@ -21,7 +21,7 @@ CASES = [
     (lambda c: T.remove_stopwords(F.split(c, " ")), "string", {"یہ اچھا نہیں ہے": ["اچھا", "نہیں"]}),
     (T.character_ngrams, "string", {"ab": ["<ab", "ab>"], "": [], "a": ["<a>"]}),
     (T.is_urdu, "string", {"کتاب": True, "abc": False, "12": False}),
-    (figures.format_number, "double", {1234567.0: "12,34,567", -0.0: "0", 1e-05: "0.00001", 1.5e20: "15,00,00,00,00,00,00,00,00,000", -12345.5: "-12,345.5"}),
+    (figures.format_number, "double", {1234567.0: "12,34,567", -0.0: "0", 1e-05: "0.00001", 1.5e20: "15,00,00,00,00,00,00,00,00,000", -12345.5: "-12,345.5", 1e-16: "0.0000000000000001", 0.0012345678901234567: "0.0012345678901234567", 1e25: "1,00,00,00,00,00,00,00,00,00,00,00,000", float("nan"): None, float("-inf"): None, 0.5: "0.5", 1000.0: "1,000"}),
     (figures.number_to_words, "long", {150000: "ایک لاکھ پچاس ہزار", 10**7: "ایک کروڑ", 0: "صفر", -1: None, 10**13: None}),
     (letters.rules_to_urdu, "string", {"ali": "الی"}),
 ]
