@@ -217,17 +217,13 @@ def chained_lines(pairs: DataFrame, lines: int, seed: int, longest: int = 12) ->
     chain ends where nothing follows. One step for all lines is a join of the lines with the followers' cumulated counts."""
     order = Window.partitionBy("prev").orderBy("h", "word")
     laid = pairs.withColumn("h", F.md5("word")).withColumn("high", F.sum("n").over(order))  # a word's followers
-    laid = laid.select(F.col("prev").alias("p"), "word", (F.col("high") - F.col("n")).alias("low"), "high", F.sum("n").over(Window.partitionBy("prev")).alias("total")).persist()
-    try:
-        now = pairs.sparkSession.range(lines).select("id", F.lit(START).alias("last"), F.array().cast("array<string>").alias("words"))
-        for step in range(longest):
-            met = now.join(laid, F.col("last") == F.col("p"), "left").withColumn("at", F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "id"), F.coalesce("total", F.lit(1))))
-            kept = met.where("p IS NULL OR (at >= low AND at < high)")
-            now = kept.select("id", F.coalesce("word", F.lit("")).alias("last"), F.when(F.col("word").isNull(), F.col("words")).otherwise(F.concat("words", F.array("word"))).alias("words"))
-        rows = now.select("id", F.array_join("words", " ").alias("line")).where("line <> ''").collect()
-    finally:
-        laid.unpersist()
-    return pairs.sparkSession.createDataFrame(rows, "id long, line string")
+    laid = laid.select(F.col("prev").alias("p"), "word", (F.col("high") - F.col("n")).alias("low"), "high", F.sum("n").over(Window.partitionBy("prev")).alias("total"))
+    now = pairs.sparkSession.range(lines).select("id", F.lit(START).alias("last"), F.array().cast("array<string>").alias("words"))
+    for step in range(longest):
+        met = now.join(laid, F.col("last") == F.col("p"), "left").withColumn("at", F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "id"), F.coalesce("total", F.lit(1))))
+        kept = met.where("p IS NULL OR (at >= low AND at < high)")
+        now = kept.select("id", F.coalesce("word", F.lit("")).alias("last"), F.when(F.col("word").isNull(), F.col("words")).otherwise(F.concat("words", F.array("word"))).alias("words"))
+    return now.select("id", F.array_join("words", " ").alias("line")).where("line <> ''")
 
 
 def inputs_digest(settings: dict, tables: dict[str, DataFrame]) -> str:

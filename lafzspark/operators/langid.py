@@ -7,6 +7,7 @@ a document's partial sums combine in its own task, so the shuffle holds about on
 
 from __future__ import annotations
 
+import json
 import math
 from collections import namedtuple
 
@@ -92,12 +93,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     sums = seen.groupBy("id", "size").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"`{c}`"), F.lit(0.0)).alias(f"s_{c}") for c in model.languages])
     score = [F.struct((-(F.col(f"s_{c}") + F.col("n") * model.unseen[c])).alias("minus"), F.lit(c).alias("code")) for c in model.languages]
     ranked = sums.select("id", "size", F.transform(F.sort_array(F.array(*score)), lambda x: F.struct(x["code"].alias("code"), (-x["minus"]).alias("score"))).alias("ranking"))
-    letters = model.distinctive.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "letters")))).alias("distinctive"))  # a row for each language
+    own = F.from_json(F.lit(json.dumps({r["lang"]: r["letters"] for r in model.distinctive.collect()})), "map<string,array<string>>")  # a row for each language
     known = ranked.select(F.col("id").alias("k"), "ranking", F.round((F.col("ranking")[0]["score"] - F.get("ranking", F.lit(1))["score"]) / F.greatest("size", F.lit(1)), 4).alias("margin"))
-    met = rows.join(known, F.col("id") == F.col("k"), "left").crossJoin(F.broadcast(letters))  # one row
+    met = rows.join(known, F.col("id") == F.col("k"), "left")
     met = met.withColumn("language", F.get("ranking", F.lit(0))["code"])
     names = F.create_map(*[F.lit(x) for pair in S.LANGUAGES.items() for x in pair])
-    evidence = F.map_filter(F.transform_values("distinctive", lambda c, own: F.filter(own, lambda x: F.contains("t", x))), lambda c, own: F.size(own) > 0)
+    evidence = F.map_filter(F.transform_values(own, lambda c, x: F.filter(x, lambda y: F.contains("t", y))), lambda c, x: F.size(x) > 0)
     return met.select(
         F.col("id").alias(id_col), "language", names[F.col("language")].alias("name"), F.coalesce("margin", F.lit(0.0)).alias("margin"),
         F.coalesce("ranking", F.array().cast("array<struct<code:string,score:double>>")).alias("ranking"), evidence.alias("evidence"),

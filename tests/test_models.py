@@ -91,6 +91,10 @@ def test_decoding_and_spelling(spark, model):
     assert {r["key"]: r["variants"] for r in channel.variant_groups(rows, found).collect()} == {"نہیں": ["nahi", "nhi"], "کتاب": ["kitab", "kitaab"]}
     text = spark.createDataFrame([("mera naam hai, kitab.\nraat",)], "t string").select(channel.transliterate(F.col("t"), found, spark).alias("x")).first()["x"]
     assert text["text"] == "میرا نام ہے، کتاب۔\nرات"
+    pair = channel.Channel(model[1], {"کتاب": 5, "نام": 5, "کتابنام": 50}, {"کتاب": {"kitab": 9}, "نام": {"naam": 9}})
+    assert "".join(w for _, w, _ in channel.SentenceReader(pair).read("kitab-e-naam")) == "کتابنام"
+    assert "".join(w for _, w, _ in channel.SentenceReader(found).read("kitab-e-naam")) == "کتاب نام"
+    assert "".join(w for _, w, _ in channel.SentenceReader(found).read("ye-e-kitab")) == "یۂ کتاب"
     best = {r["roman"]: (r["urdu"], r["tag"]) for r in channel.best_words(spark.createDataFrame([("Kitab",), ("nahi",), ("zzz",)], "roman string"), found).collect()}
     assert best["Kitab"] == ("کتاب", "vocabulary") and best["nahi"] == ("نہیں", "lexicon") and best["zzz"][1] == "rules"
     with pytest.raises(ValueError, match="vocabulary"):
