@@ -3,7 +3,12 @@
 import random
 from collections import Counter
 
-from lafzspark.operators import langid
+from pyspark.sql import functions as F
+
+from lafzspark.functions import plain
+from lafzspark.functions import text as T
+from lafzspark.operators import channel, corpus, langid
+from tests.test_invariants import HOSTILE
 
 
 def _watched(spark, rows, schema):
@@ -34,3 +39,22 @@ def test_counted_grams_against_brute_force():
         p = f" {t} "
         held.update(p[i : i + n] for n in range(1, 7) for i in range(len(p) - n + 1) if n == 1 or p[i : i + n].strip(" "))
     assert langid.counted_grams(texts, 6) == held and langid.counted_grams([], 2) == Counter()
+
+
+def test_bigrams_read_texts_once_for_a_channel(spark):
+    rows, seen = _watched(spark, [("کتاب نام کتاب نام کتاب نام",), ("نام کتاب",)], "text string")
+    words = spark.createDataFrame([("کتاب", 4), ("نام", 4)], "word string, n long")
+    model = channel.from_tables(channel.Emissions(), words, None, *corpus.bigrams(rows, words))
+    assert (model.bigrams, model.totals["کتاب"], seen.value) == ({"کتاب": {"نام": 3}, "نام": {"کتاب": 3}}, (3, 1), 2)
+
+
+def test_spelling_is_dealt_to_all_cores(spark):
+    words = spark.createDataFrame([(w,) for w in ("کتاب", "نام", "کام", "بات")], "word string")
+    model = channel.Channel(channel.Emissions(), {"نام": 3}, {"نام": {"naam": 3}})
+    found = channel.romanised_words(words, model)
+    assert [tuple(r) for r in found.collect()] == [("نام", "naam")] and found.rdd.getNumPartitions() >= 4
+
+
+def test_tokens_in_python_are_those_of_the_expressions(spark):
+    for r in spark.createDataFrame([(t,) for t in HOSTILE if "\n" not in t], "t string").select("t", T.words(F.col("t")).alias("w")).collect():
+        assert plain.words(r["t"]) == r["w"]
