@@ -58,3 +58,33 @@ def test_spelling_is_dealt_to_all_cores(spark):
 def test_tokens_in_python_are_those_of_the_expressions(spark):
     for r in spark.createDataFrame([(t,) for t in HOSTILE if "\n" not in t], "t string").select("t", T.words(F.col("t")).alias("w")).collect():
         assert plain.words(r["t"]) == r["w"]
+
+
+def _model():
+    """More words under one key than are weighed one by one."""
+    words = {f"ک{a}ت{b}": 3 + i for i, (a, b) in enumerate((a, b) for a in ["", *"اوی"] for b in ["", *"اویےئآ"])}
+    row = {"ک": {"k": 0.9, "c": 0.1}, "ت": {"t": 1.0}, "ا": {"a": 0.7, "aa": 0.3}, "و": {"o": 0.6, "u": 0.4}, "ی": {"i": 0.8, "": 0.2}, "ے": {"e": 1.0}, "ئ": {"": 1.0}, "آ": {"a": 1.0}}
+    return channel.Channel(channel.Emissions(letter=row), words, {"کات": {"kat": 5}, "کوتی": {"kuti": 2, "koti": 1}})
+
+
+def test_words_weighed_at_once_are_those_weighed_one_by_one(monkeypatch):
+    romans = ["kat", "kati", "kota", "kuti", "kt", "kaata", "kite", "zz", "ktttt"]
+    at_once = [_model().candidates(r) for r in romans]
+    monkeypatch.setattr(channel, "FEW", 10**9)
+    assert at_once == [_model().candidates(r) for r in romans] and len(at_once[0]) > 3
+
+
+def test_common_words_are_looked_up_once(spark, monkeypatch):
+    romans = spark.createDataFrame([("kat", 3), ("kuti", 2), ("zz", 1)], "roman string, n long")
+    model = channel.with_common(_model(), romans, most=2)
+    assert sorted(model.common) == ["kat", "kuti"] and model.candidates("zz") == _model().candidates("zz")
+    held = _model().candidates("kat")
+    monkeypatch.setattr(channel.Channel, "_candidates", lambda self, roman: None)
+    assert model.candidates("kat") == held
+
+
+def test_turns_keys_are_dealt_to_all_cores(spark):
+    rows = spark.createDataFrame([("kat", 1), ("Kat", 2), ("kuti", 3)], "word string, pos long")
+    found = channel.variant_groups(rows, _model())
+    assert sorted(r["variants"] for r in found.collect()) == [["kat", "Kat"], ["kuti"]]
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
