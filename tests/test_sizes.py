@@ -3,11 +3,12 @@
 import random
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lafzspark.functions import plain
 from lafzspark.functions import text as T
-from lafzspark.operators import channel, corpus, langid
+from lafzspark.operators import channel, corpus, langid, ranking
 from tests.test_invariants import HOSTILE
 
 
@@ -88,3 +89,11 @@ def test_turns_keys_are_dealt_to_all_cores(spark):
     found = channel.variant_groups(rows, _model())
     assert sorted(r["variants"] for r in found.collect()) == [["kat", "Kat"], ["kuti"]]
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_are_rounded_as_in_sql(spark):
+    draw = random.Random(5)
+    scores = [(draw.randrange(8 * 10**6, 8388608) * 10 + 5) / 10**7 for _ in range(20_000)]
+    rows = spark.createDataFrame(list(enumerate(scores)), "i int, x double").select("i", ranking.rounded(F.col("x"), 6).alias("y"), F.round("x", 6).alias("z")).orderBy("i").collect()
+    held = [r[0] for r in duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest($1::DOUBLE[]) AS x)", [scores]).fetchall()]
+    assert [r["y"] for r in rows] == held and [r["z"] for r in rows] != held
