@@ -1,9 +1,12 @@
 """What queries at 1 GB need: tables are read once, work is counted in batches and dealt to all cores, with the same results."""
 
+import itertools
 import random
+import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lafzspark.functions import plain
@@ -97,3 +100,91 @@ def test_scores_are_rounded_as_in_sql(spark):
     rows = spark.createDataFrame(list(enumerate(scores)), "i int, x double").select("i", ranking.rounded(F.col("x"), 6).alias("y"), F.round("x", 6).alias("z")).orderBy("i").collect()
     held = [r[0] for r in duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest($1::DOUBLE[]) AS x)", [scores]).fetchall()]
     assert [r["y"] for r in rows] == held and [r["z"] for r in rows] != held
+
+
+def _pairs_one_by_one(text):
+    before = corpus.START
+    for w in plain.words(text):
+        if w == "\n":
+            before = corpus.START
+        elif plain.is_urdu_word(w):
+            yield before, w
+            before = w
+        else:
+            before = corpus.UNKNOWN
+
+
+def _counted(texts, behind=None):
+    held = Counter()
+    for batch in corpus.counted_neighbours(iter([pa.RecordBatch.from_arrays([pa.array([*texts, None], pa.string())], names=["t"])]), behind):
+        for prev, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held[prev, word] += n
+    return held
+
+
+def test_pairs_of_words_against_one_by_one(monkeypatch):
+    draw = random.Random(2)
+    letters = [*"ابپکهيےیہك  \n\n\r\t\x0b\x1c\u0085\xa0‌ًٔ́.,@#:/12۵a", "ﷲ", "ﷺ", "ﹰ", "http://", "ﻻ", "www.", "é", "　"]
+    texts = [*HOSTILE, *("".join(draw.choice(letters) for _ in range(draw.randint(0, 60))) for _ in range(3000))]
+    held = Counter(p for t in texts for p in _pairs_one_by_one(t))
+    behind = {w for w, _ in list(held)[::3]}
+    known = Counter({p: n for p, n in held.items() if p[0] in behind | {corpus.START, corpus.UNKNOWN}})
+    assert _counted(texts) == held and _counted(texts, behind) == known and _counted([]) == Counter()
+    monkeypatch.setattr(corpus, "HELD_PAIRS", 50)
+    assert _counted(texts) == held
+
+
+def test_pieces_of_text_are_normalised_once(monkeypatch):
+    seen, own = [], plain.words
+    monkeypatch.setattr(plain, "words", lambda text: seen.append(text) or own(text))
+    assert _counted(["کتاب نام، کتاب۔ نام.\nکتاب"] * 50)["کتاب", "نام"] == 100
+    assert len(seen) <= 4
+
+
+def test_bigrams_behind_known_words(spark):
+    rows = spark.createDataFrame([("کتاب نام کتاب نام کتاب نام بات نام\nبات",), ("نام کتاب کام",)], "text string")
+    words = spark.createDataFrame([("کتاب", 4), ("نام", 4)], "word string, n long")
+    whole, some = (channel.from_tables(channel.Emissions(), words, None, *corpus.bigrams(rows, words, **x)) for x in ({}, {"behind": {"کتاب", "نام"}}))
+    assert (whole.bigrams, whole.totals) == (some.bigrams, some.totals) and some.totals["کتاب"] == (4, 2)
+
+
+def _drawn_model(draw):
+    """Letters that give several pieces, words of one key and several lengths, some of them attested."""
+    row = lambda: {p: draw.random() for p in draw.sample(["", "k", "t", "a", "ka", "at", "i", "kat", "aa"], 5)}
+    emissions = channel.Emissions(letter={c: {p: x / 5 for p, x in row().items()} for c in "کتاویےئ"})
+    words = {"ک" + "".join(draw.choice("اویےئ") for _ in range(draw.randint(0, 5))) + "ت" + "".join(draw.choice("اویےئ") for _ in range(draw.randint(0, 3))): draw.randint(1, 900) for _ in range(400)}
+    attested = {w: {draw.choice(["kat", "kaat", "kati", "kitaka"]): draw.randint(1, 9)} for w in list(words)[::3]}
+    return channel.Channel(emissions, words, attested)
+
+
+def test_words_that_cannot_win_are_dropped_without_loss(monkeypatch):
+    draw = random.Random(4)
+    models, romans = [_drawn_model(draw) for _ in range(4)], ["kat", "kaat", "kati", "kt", "kitaat", "kaaataka", "katakataka", "k" * 12 + "t"]
+    at_once = [m._candidates(r) for m in models for r in romans]
+    monkeypatch.setattr(channel, "FEW", 10**9)
+    assert at_once == [m._candidates(r) for m in models for r in romans] and any(len(x) == 5 for x in at_once)
+
+
+def test_sentences_look_up_a_word_before_once(monkeypatch):
+    draw, words = random.Random(6), ["کات", "کوت", "کیت"]
+    row = {"ک": {"k": 1.0}, "ت": {"t": 1.0}, "ا": {"a": 0.6, "o": 0.4}, "و": {"o": 0.6, "a": 0.4}, "ی": {"a": 0.5, "o": 0.5}}
+    bigrams = {a: {b: draw.randint(1, 30) for b in words if draw.random() < 0.7} for a in words}
+    totals = {a: (sum(own.values()) + 5, len(own) + 1) for a, own in bigrams.items() if own}
+    model = channel.Channel(channel.Emissions(letter=row), {"کات": 5, "کوت": 4, "کیت": 9}, {}, bigrams, totals)
+    run = ["kat", "kot", "kat", "kat", "kot"]
+
+    def score(path):
+        e = sum(dict(model.candidates(r))[w] for r, w in zip(run, path, strict=True))
+        return e + model.lm_weight * sum(model.log_bigram(w, b) for b, w in itertools.pairwise(["<s>", *path]))
+
+    best = max(itertools.product(words, repeat=len(run)), key=score)
+    monkeypatch.setattr(channel.Channel, "log_bigram", None)
+    assert [w for w, _ in model.decode(run, {})] == list(best)
+
+
+def test_plain_letters_are_normalised_like_all_others(monkeypatch):
+    letters = [chr(i) for i in range(0x600, 0x700)]
+    texts = [a + b for a in letters for b in ["", *letters]]
+    short = [plain.normal(t) for t in texts]
+    monkeypatch.setattr(plain, "_PLAIN", re.compile("(?!)"))
+    assert short == [plain.normal(t) for t in texts]
